@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,28 @@ WINDOW w AS (PARTITION BY t)
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_minhash_near_dedup",
+    r"""
+WITH RECURSIVE toks AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM toks
+), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (SELECT x, y FROM pairs WHERE 100 * c >= 85 * (n + m - c)
+), r(d, c) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.d, e.y FROM r JOIN e ON r.c = e.x
+), least AS (SELECT d, min(c) AS component_id FROM r GROUP BY d)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON d = doc_id
+""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
