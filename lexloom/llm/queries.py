@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .common import read_table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .token_counts import count_tokens
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +92,33 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query(
+    "op3_decontamination",
+    r"""
+WITH toks AS (
+  SELECT 'd' AS t, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') FROM benchmark
+), sets AS (
+  SELECT t, id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s
+  FROM toks
+), flat AS (SELECT t, id, len(s) AS n, unnest(s) AS g FROM sets)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(i.n) AS n_item, count(*)::double / any_value(i.n) AS containment
+FROM flat d JOIN flat i ON d.g = i.g AND d.t = 'd' AND i.t = 'i' GROUP BY 1, 2
+HAVING 100 * count(*) >= 80 * any_value(i.n)
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op8_bpe_encode_decode")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
