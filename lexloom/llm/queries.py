@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .common import read_table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .token_counts import count_tokens
@@ -122,3 +123,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe_encode_decode")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
