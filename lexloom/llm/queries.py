@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .quality import quality
 from .token_counts import count_tokens
 
 def tokenizer_path(name: str) -> str:
@@ -128,3 +129,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -44,27 +44,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all words of the rows, and where each row's words begin (one more at the end).
-
-    Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``; with ``plain``, runs of ASCII letters,
-    digits and non-ASCII characters. A-Z count as a-z.
-    """
+def spans(raw: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of all words of the rows, as words() takes them."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     inside = ~(_MARKS if plain else _SPACE)[raw]
     edge = at[(at > 0) & (at < n)]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
     before[edge] = False
-    start = np.flatnonzero(inside & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = inside[1:]
     after[edge - 1] = False
-    end = np.flatnonzero(inside & ~after)
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+
+
+def words(raw: np.ndarray, at: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of the rows, and where each row's words begin (one more at the end).
+
+    Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``; with ``plain``, runs of ASCII letters,
+    digits and non-ASCII characters. A-Z count as a-z.
+    """
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    start, end = spans(raw, at, plain)
     up, down = powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
