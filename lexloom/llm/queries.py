@@ -15,6 +15,8 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .quality import quality
 from .token_counts import count_tokens
+from .url_filter import judge, oracle
+from .warc import archive_pages
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -134,3 +136,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op4_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h)::bigint AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(x, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op6_url_filter", oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"))
