@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
-from .graph import label_propagation
+from .graph import label_propagation, settled
 
 
-def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
+def average_linkage(distance: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> np.ndarray:
     """Labels in input order: the closest two clusters merge while they are closer than ``threshold``.
 
-    Distances of merged clusters follow by size-weighted means (Lance-Williams). Ties go to the first pair.
+    Distances of merged clusters follow by size-weighted means (Lance-Williams); weights are the sizes that rows begin
+    with. Ties go to the first pair.
     """
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, parent = np.ones(n), list(range(n))
+    size, parent = np.ones(n) if weights is None else weights.astype(float), list(range(n))
     alive = np.ones(n, bool)
     while alive.sum() > 1:
         i, j = np.unravel_index(np.argmin(d), d.shape)
@@ -46,8 +47,10 @@ def cluster(vectors: DataFrame, threshold: float, most: int = 20_000) -> DataFra
     label is the least id of the cluster.
     """
     u = vectors.select("id", unit(F.col("vector")).alias("u"))
-    usable = u.where(F.col("u").isNotNull() & (F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x) > 0.5))
-    pairs = usable.withColumnsRenamed({"id": "a", "u": "ua"}).join(usable.withColumnsRenamed({"id": "b", "u": "ub"}), F.col("a") < F.col("b"))
+    usable = settled(u.where(F.col("u").isNotNull() & (F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x) > 0.5)))
+    # equal vectors merge at distance 0 before all others: one row with their number stands for them
+    heads = settled(usable.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    pairs = heads.withColumnsRenamed({"id": "a", "u": "ua"}).join(heads.select(F.col("id").alias("b"), F.col("u").alias("ub")), F.col("a") < F.col("b"))
     close = pairs.where(1 - dot(F.col("ua"), F.col("ub")) < threshold).select(F.lit(0).alias("g"), "a", "b")
     comp = label_propagation(close, "g").select(F.col("node").alias("id"), "component")
 
@@ -56,13 +59,14 @@ def cluster(vectors: DataFrame, threshold: float, most: int = 20_000) -> DataFra
             raise ValueError(f"a component of {len(rows)} vectors; {most} at most")
         rows = rows.sort_values("id")
         m = np.stack(rows["u"].to_numpy())
-        label = average_linkage(1 - m @ m.T, threshold)
+        label = average_linkage(1 - m @ m.T, threshold, rows["n"].to_numpy())
         ids = rows["id"].to_numpy()
         first = {x: ids[label == x].min() for x in set(label)}
         return pd.DataFrame({"id": ids, "label": [first[x] for x in label]})
 
-    grouped = usable.join(comp, "id").groupBy("component").applyInPandas(merge, "id long, label long")
-    return vectors.select("id").join(grouped, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    grouped = heads.join(comp, "id").groupBy("component").applyInPandas(merge, "id long, label long")
+    by_head = heads.join(grouped, "id", "left").select("u", F.coalesce("label", "id").alias("label"))
+    return vectors.select("id").join(usable.join(by_head, "u").select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:

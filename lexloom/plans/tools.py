@@ -26,11 +26,11 @@ def tool(f):
     return f
 
 
-def call(name: str, ontology: Ontology, **arguments) -> DataFrame:
+def call(tool_name: str, ontology: Ontology, /, **arguments) -> DataFrame:
     """Run a tool by name, as a client would."""
-    if name not in TOOLS:
-        raise KeyError(f"no tool {name}; there are {', '.join(TOOLS)}")
-    return TOOLS[name](ontology, **arguments)
+    if tool_name not in TOOLS:
+        raise KeyError(f"no tool {tool_name}; there are {', '.join(TOOLS)}")
+    return TOOLS[tool_name](ontology, **arguments)
 
 
 def resolve_concept(o: Ontology, term: str) -> DataFrame:
