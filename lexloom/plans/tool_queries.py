@@ -258,7 +258,7 @@ def resolve_imports(spark, d):
 @query(
     "scalars",
     f"""WITH {SIGS}, ids AS (SELECT * FROM sigs) SELECT name, [param || ': Optional[' || ptype || ']', 'size'] AS params, strlen(file) // 4 AS tokens, string_split(file, '/')[3] AS last, string_split(file, '/')[1] AS root,
-      array_to_string(list_distinct(list_concat([name], list_concat({A.split_sql('name')}, [param]))), ' ') AS text, ptype AS type FROM ids""",
+      array_to_string(list_concat([name], list_concat({A.split_sql('name')}, [param])), ' ') AS text, ptype AS type FROM ids""",
 )
 def scalars(spark, d):
     s = signatures(spark, d)
