@@ -325,6 +325,12 @@ for _name, _arguments in {
     "query_concept": {"term": "bolt"}, "check_naming": {"identifier": "old_bolt"}, "suggest_name": {"description": "count of gears"}, "list_concepts": {}, "list_conventions": {}, "describe_symbol": {"name": "Bolt"},
     "describe_file": {"path": "classes/bolt.py"}, "locate_concept": {"term": "bolt"}, "list_entities": {"concept": "gear", "top_k": 20}, "vocabulary_health": {}, "session_briefing": {}, "concept_map": {}, "type_flows": {},
     "trace_type": {"type_name": "promo"}, "trace_concept": {"concept": "anvil", "max_depth": 1}, "describe_logic": {"name": "Bolt"}, "compact_context": {"scope": "Bolt"}, "export_domain_pack": {}, "generate_ontology_md": {}, "concept_neighbours": {"term": "bolt"},
-    "find_similar_logic": {"name": "old_bolt_44"}, "benchmark_embeddings": {},
+    "benchmark_embeddings": {},
 }.items():
     _tool(_name, **_arguments)
+
+
+@query("tool_find_similar_logic")
+def find_similar_logic(spark, d):
+    first = signatures(spark, d).where("line = 0").select("name").first()
+    return tools.find_similar_logic(ontology(spark, d), first.name if first else "", 5)
