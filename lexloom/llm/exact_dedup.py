@@ -42,7 +42,9 @@ def exact_dedup(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFram
     base = base.withColumn("id", F.coalesce("own", F.shiftrightunsigned("loc", 2).bitwiseOR(F.lit(RESERVED))))
     base = base.withColumn("n", F.octet_length("t"))
 
-    keyed = base.select("id", "loc", "n", F.substring("t", 1, FIRST_BYTES).alias("run"))
+    # one pass over the texts leaves what the first split and the result need of them
+    firsts, _ = written(base.select("own", "id", "loc", "n", F.substring("t", 1, FIRST_BYTES).alias("run"), F.sha2("t", 256).alias("text_sha256")), "radix")
+    keyed = firsts.select("id", "loc", "n", "run")
     split = _split(keyed, ["n", "run"])
     groups = [split.where(F.col("n") <= FIRST_BYTES).select("id", "loc", "gid", "size")]
     going, path = written(split.where(F.col("n") > FIRST_BYTES).select("id", "loc", "n", "gid", "gloc"), "radix")
@@ -67,7 +69,7 @@ def exact_dedup(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFram
     found = groups[0]
     for part in groups[1:]:
         found = found.unionByName(part)
-    rows = base.select("own", "id", "loc", F.sha2("t", 256).alias("text_sha256")).join(found.distinct(), ["id", "loc"], "left")
+    rows = firsts.select("own", "id", "loc", "text_sha256").join(found.distinct(), ["id", "loc"], "left")
     keep = F.coalesce("gid", "id")
     return rows.select(
         F.col("own").alias("doc_id"),

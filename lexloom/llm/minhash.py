@@ -7,8 +7,9 @@
 3. Bands of ``ROWS`` bins are buckets. A bucket's members get one edge each, to the member that has
    most company (a star), never all pairs. Edges are confirmed on the full sets.
 4. A star can miss a link between two of its rays. Where a bucket's members are still in different
-   components, further stars are drawn, around the best of the components not yet asked; when what is
-   left is small against the input it is compared outright. So no link of a shared bucket is lost.
+   components, another star is drawn around a component that has had none, and what is left is compared
+   by sketches (the least ``SKETCH`` numbers of a set; most sets whole), in blocks of bounded size inside a
+   task: no pair becomes a row unless its sketches allow a link. So no link of a shared bucket is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import remove, slices, utf8, written
 from .components import components
 from .words import byte_words, exact_shingles, mix, shingle_rows, words
 
@@ -30,9 +31,9 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Tables of up to so many rows of two longs are broadcast.
 BROADCAST_ROWS = 200_000
-#: Pairs that stars left over are compared outright when there are at most so many a document.
-REST = 2
-ROUNDS = 6
+#: Stars drawn before what is left is compared by sketches.
+STARS = 2
+SKETCH, BLOCK = 512, 512
 
 _BIN_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
 _DONORS = (mix(np.arange(BINS * 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 64)
@@ -102,16 +103,16 @@ def _small(df: DataFrame, count: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union.
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union, written.
 
-    texts: (id, text), read for documents in pairs only. Ids meet their text once each; a pair's two
-    texts meet in one row, so no task gathers the members of a star.
+    texts: (id, text), read for documents in pairs only. A pair's two texts meet in one row, so no task
+    gathers the members of a star.
     """
-    pairs, _ = written(pairs, "pairs")
-    count = pairs.count()
+    spark = pairs.sparkSession
+    pairs, at = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # few ids: fetch their texts by a broadcast of the ids, so that the other texts are not shuffled
-    used, _ = written(texts.join(_small(ids, 2 * count), "id", "left_semi"), "texts")
+    # few ids: their texts are fetched by a broadcast of the ids, so that the other texts are not shuffled
+    used, beside = written(texts.join(_small(ids, 2 * pairs.count()), "id", "left_semi"), "texts")
     left = used.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = used.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
@@ -121,7 +122,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         for part in parts:
             a, b, keep = part.column(0).to_pylist(), part.column(1).to_pylist(), []
             for i in range(part.num_rows):
-                if a[i] != last:  # rows come sorted or streamed by a more often than not
+                if a[i] != last:  # the join leaves rows in runs of a
                     last, known = a[i], exact_shingles(byte_words(part.column(2)[i].as_py()), k)
                 other = exact_shingles(byte_words(part.column(3)[i].as_py()), k)
                 shared = len(known & other)
@@ -129,72 +130,169 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             mask = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[mask]), pa.array(np.array(b, np.int64)[mask])], ["a", "b"])
 
-    return both.mapInArrow(linked, "a long, b long")
+    found, _ = written(both.mapInArrow(linked, "a long, b long"), "links")
+    for path in (at, beside):
+        remove(spark, path)
+    return found
+
+
+def _least(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, sketch): the least SKETCH of the upper halves of a set's numbers, sorted."""
+    for part in parts:
+        raw, at = utf8(part.column(1))
+        for low, high in slices(at):
+            number, first = words(raw[at[low] : at[high]], at[low : high + 1] - at[low])
+            made, begin = shingle_rows(number, first, k)
+            made = (made >> np.uint64(32)).astype("<u4")
+            out = [np.unique(made[begin[i] : begin[i + 1]])[:SKETCH].tobytes() for i in range(high - low)]
+            yield pa.RecordBatch.from_arrays([part.column(0).slice(low, high - low), pa.array(out, pa.binary())], ["id", "sketch"])
+
+
+def possible(sketch: list[np.ndarray], home: np.ndarray, component: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows, of different components and one of them at home, whose sketches allow a link.
+
+    Where sketches are whole sets the similarity is known, and only a forest of the links is given; else it is
+    sampled below the least end of a cut sketch, and all within seven deviations are given.
+    """
+    m, least = len(sketch), percent / 100
+    whole = np.array([len(x) < SKETCH for x in sketch])
+    top = min((int(x[-1]) for x, w in zip(sketch, whole, strict=True) if not w), default=1 << 32)
+    flat = np.concatenate(sketch)
+    row = np.repeat(np.arange(m), [len(x) for x in sketch])
+    row, flat = row[flat <= top], flat[flat <= top]
+    size = np.bincount(row, minlength=m).astype(np.float32)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    both = np.zeros((m, m), np.float32)
+    often = count > 1  # what one row has alone is in no intersection
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        i, j = np.searchsorted(column, (low, low + 4096))
+        matrix = np.zeros((m, min(4096, int(place[-1]) + 1 - low)), np.float32)
+        matrix[row[i:j], column[i:j] - low] = 1
+        both += matrix @ matrix.T
+    union = size[:, None] + size[None, :] - both
+    near = both / np.maximum(union, 1)
+    sampled = top < 1 << 32
+    slack = 7 * np.sqrt(least * (1 - least) / np.maximum(union, 1)) if sampled else 0.01
+    ok = np.triu(near >= least - slack, 1) & (component[:, None] != component[None, :]) & (home[:, None] | home[None, :])
+    if block.min() != block.max():
+        ok &= block[:, None] != block[None, :]  # those of one block meet in its own group
+    a, b = np.nonzero(ok)
+    if sampled:
+        return list(zip(a.tolist(), b.tolist(), strict=True))
+    parent = {c: c for c in component.tolist()}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    for i in np.argsort(-near[a, b], kind="stable").tolist():
+        x, y = root(component[a[i]].item()), root(component[b[i]].item())
+        if x != y or near[a[i], b[i]] < least + 0.01:  # a doubtful one joins nothing before it is confirmed
+            out.append((int(a[i]), int(b[i])))
+            if near[a[i], b[i]] >= least + 0.01:
+                parent[x] = y
+    return out
+
+
+def left_over(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that sketches allow among the members (bucket, id, n, component) of buckets of several components.
+
+    Sets that can be linked are of one size class or of neighbouring ones, so a bucket is cut by class, each row
+    being at home in its own and a guest in the next; groups of more than BLOCK rows are cut into blocks that
+    meet two by two.
+    """
+    ids = pending.select("id").distinct()
+    few = _small(ids, ids.count())
+    sketch, _ = written(texts.join(few, "id", "left_semi").mapInArrow(lambda parts: _least(parts, k), "id long, sketch binary").dropDuplicates(["id"]), "sketches")
+    step = float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else 1e-9
+    own = F.floor(F.log("n") / F.lit(step))
+    rows = pending.select("bucket", "id", "component", F.explode(F.array(F.struct(own.alias("class"), F.lit(True).alias("home")), F.struct((own + 1).alias("class"), F.lit(False).alias("home")))).alias("c")).select("bucket", "id", "component", "c.class", "c.home")
+    size = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("home").alias("any")).where("x < y and any").select("bucket", "class", "rows")
+    cut = rows.join(size, ["bucket", "class"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    cut = cut.join(sketch, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["bucket", "class", "p", "q"]
+    cut = cut.select("bucket", "class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "component", "home", "block", "sketch")
+    dealt = cut.repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def group(table: pa.Table) -> list[tuple[int, int]]:
+            ids = table["id"].to_numpy()
+            found = possible([np.frombuffer(x, "<u4") for x in table["sketch"].to_pylist()], np.array(table["home"].to_pylist(), bool), table["component"].to_numpy(), table["block"].to_numpy(), percent)
+            return [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in found if ids[i] != ids[j]]
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            two = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], ["a", "b"])
+
+        key = None
+        for part in parts:
+            marks = np.stack([part.column(i).to_numpy() for i in range(4)])
+            starts = np.append(0, np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1) if part.num_rows else np.zeros(0, int)
+            pairs: list[tuple[int, int]] = []
+            for i, low in enumerate(starts):
+                high = starts[i + 1] if i + 1 < len(starts) else part.num_rows
+                mine = tuple(marks[:, low])
+                if mine != key and held:
+                    pairs += group(pa.Table.from_batches(held))
+                    held = []
+                key = mine
+                held.append(part.slice(low, high - low))
+            yield out(pairs)
+        if held:
+            yield out(group(pa.Table.from_batches(held)))
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketches, and edges (a, b) of ids that connect exactly the linked documents."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig, _ = written(sketches(docs, k), "sketches")
+    sig, _ = written(sketches(docs, k), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
-    total = known.count()
     same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = same.where("copies > 1")
-    copies = known.join(groups, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    copies = known.select("doc_id", "hi", "lo").join(groups, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     copies, _ = written(copies, "copies")
     others = known.join(groups.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "rep"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("doc_id") != F.col("rep")), "left_anti")
     buckets = others.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
-    # only what shares a bucket goes on; company: how many it meets in all its buckets
-    members, _ = written(buckets.join(shared, "bucket"), "members")
-    weight = members.groupBy("id").agg(F.sum("company").alias("weight"))
-    members, _ = written(members.select("id", "n", "bucket").join(weight, "id"), "members")
+    # only what shares a bucket goes on; weight: how many it meets in all its buckets
+    first, old = written(buckets.join(shared, "bucket"), "members")
+    weight = first.groupBy("id").agg(F.sum("company").alias("weight"))
+    members, _ = written(first.select("id", "n", "bucket").join(weight, "id"), "members")
+    remove(spark, old)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
-    near = _small_size(percent)
-    edges = [copies]
-    asked: DataFrame | None = None
+    edges, had = [copies], None
     label = members.withColumn("component", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        # the best member of the bucket that has not been a centre in it
-        free = label if asked is None else label.join(asked.withColumnRenamed("centre", "id"), ["bucket", "id"], "left_anti")
-        best = free.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"), "component", "n")).alias("best"))
-        best = best.select("bucket", (-F.col("best.col2")).alias("centre"), F.col("best.component").alias("of"), F.col("best.n").alias("m"))
-        if turn == ROUNDS:
-            break
-        best, _ = written(best, "centres")
-        star = label.join(best, "bucket").where("component <> of").where(near("n", "m")).select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
-        found, _ = written(confirmed(star, texts, k, percent), "links")
-        edges.append(found)
-        made = best.select("bucket", "centre")
-        asked = made if asked is None else asked.unionByName(made)
-        if turn and not found.isEmpty() or not turn:
-            part = components(reduce(DataFrame.unionByName, edges[1:]))
-            label = members.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # buckets that still hold several components
-        mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).where("x < y")
-        pending, _ = written(label.join(mixed.select("bucket"), "bucket", "left_semi"), "pending")
-        label = pending
-        sizes = pending.groupBy("bucket", "component").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("bucket").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
-        left = sizes.agg(F.sum("pairs")).first()[0] or 0
-        if left / 2 <= REST * total:
-            break
-    if left:
-        x, y = pending.alias("x"), pending.alias("y")
-        rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component"))).where(near("x.n", "y.n"))
-        rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        edges.append(written(confirmed(rest, texts, k, percent), "links")[0])
+    for turn in range(STARS):
+        # the member with most company, of a component that has not had the bucket's centre
+        free = label if had is None else label.join(had, ["bucket", "component"], "left_anti")
+        best = free.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"), "component", "n")).alias("best"))
+        best, _ = written(best.select("bucket", (-F.col("best.low")).alias("centre"), F.col("best.component").alias("of"), F.col("best.n").alias("m")), "centres")
+        star = label.join(best, "bucket").where("component <> of").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
+        edges.append(confirmed(star, texts, k, percent))
+        part = components(reduce(DataFrame.unionByName, edges[1:]))
+        label = members.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        label, _ = written(label.join(mixed.select("bucket"), "bucket", "left_semi"), "pending")
+        # components of the centres as they are now
+        at = label.join(best.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_semi").select("bucket", "component").distinct()
+        had = at
+        if label.isEmpty():
+            return sig, reduce(DataFrame.unionByName, edges)
+    edges.append(confirmed(left_over(label, texts, k, percent), texts, k, percent))
     return sig, reduce(DataFrame.unionByName, edges)
 
 
-def _small_size(percent: int):
-    """Sets whose sizes differ too much cannot be linked."""
-
-    def test(n: str, m: str):
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    return test
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
