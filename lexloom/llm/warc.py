@@ -11,7 +11,9 @@ as binary files and parsed by declared lengths.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -31,8 +33,10 @@ FIELDS = {
 }
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file, at most; a file is read as one value.
-RECORDS_A_FILE = 5_000
+#: Records in a file, at most, and about so many bytes of them before compression; a file is read as one value.
+RECORDS_A_FILE, FILE_BYTES = 5_000, 64 << 20
+#: Workers hand on records in batches of about so many bytes.
+BATCH_BYTES = 8 << 20
 #: Up to so many revisits are broadcast to the pages.
 BROADCAST_ROWS = 200_000
 
@@ -158,23 +162,31 @@ def to_warc(record: ArcRecord, ident: str | None = None, revisit_of: str | None
     return warc_record([*headers, *extra], block)
 
 
+def opened(data: bytes) -> io.BufferedIOBase:
+    """A file over the data, unpacked as it is read if it is gzipped (of any number of members)."""
+    file = io.BytesIO(data)
+    return gzip.GzipFile(fileobj=file) if data[:2] == b"\x1f\x8b" else file
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    """Headers and block of each record, by declared lengths. Gzipped data is unpacked record by record."""
+    file = opened(data)
+    while line := file.readline():
+        if line == b"\r\n":
             continue
-        end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at {at}")
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record at {line[:40]!r}")
+        head: dict[str, str] = {}
+        while (line := file.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"a header without an end: {head}")
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            head[name] = value
         length = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + length]
+        block = file.read(length)
         if len(block) < length:
-            raise ValueError(f"{length} bytes declared at {at}, {len(block)} there")
+            raise ValueError(f"{length} bytes declared, {len(block)} there: {head}")
         yield head, block
-        at = end + 4 + length
 
 
 def convert(arcs: DataFrame) -> DataFrame:
@@ -202,10 +214,10 @@ def plain(data: bytes) -> bytes:
     return b"".join(out) if out else data
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write a column of records (binary or string) as WARC files."""
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", records_a_file: int = RECORDS_A_FILE) -> None:
+    """Write a column of records (binary or string) as WARC files of at most ``records_a_file`` records."""
     column = records.columns[0]
-    records.select(F.col(column).cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    records.select(F.col(column).cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", compression).option("maxRecordsPerFile", records_a_file).text(path)
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -214,10 +226,14 @@ def read_warc(files: DataFrame) -> DataFrame:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for content in part.column(0):
-                heads, loads = [], []
-                for head, block in parse_warc(plain(content.as_py())):
+                heads, loads, size = [], [], 0
+                for head, block in parse_warc(content.as_py()):
                     heads.append(list(head.items()))
                     loads.append(payload_of(block))
+                    size += len(block)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(loads, pa.binary())], ["headers", "payload"])
+                        heads, loads, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(loads, pa.binary())], ["headers", "payload"])
 
     return files.select("content").mapInArrow(rows, "headers map<string,string>, payload binary")
@@ -253,7 +269,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0, version: int = 2, date: s
                     extra.append(("X-Refers-To-Page", str(first)))
                 made.append(to_warc(record, record_id("page", str(page), sha), None if first is None else record_id("page", str(first), sha), extra))
                 size += len(made[-1])
-                if size > 8 << 20:
+                if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
                     made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
@@ -266,7 +282,7 @@ def _page_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for content in part.column(0):
             cols: list[list] = [[] for _ in names]
-            for head, block in parse_warc(plain(content.as_py())):
+            for head, block in parse_warc(content.as_py()):
                 page, first = head["X-Page-Id"], head.get("X-Refers-To-Page")
                 sha = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] == "response":
@@ -291,6 +307,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_warc(page_records(pages, min_bytes, version), path)
+    size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    write_warc(page_records(pages, min_bytes, version), path, records_a_file=int(max(1, min(RECORDS_A_FILE, FILE_BYTES // (size + 1)))))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
     return files.mapInArrow(_page_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
