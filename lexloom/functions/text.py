@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-import keyword
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Stop words by language. Python's keywords are the interpreter's own list; the rest is
-# kept as sets of built-in types and of words that frameworks put into every identifier.
-_PYTHON = {k.lower() for k in keyword.kwlist} | set("super cls self type object complex bytes tuple set dict list str float int bool".split()) | {"none", "true", "false"}
-_SCRIPT = set(
-    "set map promise array bigint symbol unknown never any object undefined null boolean number string await async as from "
-    "default export import of in delete void instanceof typeof this new throw finally catch try return continue break case "
-    "switch do while for else if class function var let const".split()
-)
-_RUST = set(
-    "err ok none some result option box vec f64 f32 usize u128 u64 u32 u16 u8 isize i128 i64 i32 i16 i8 string str char bool ref move "
-    "await async return continue break while loop match else if in for where super self use mod crate pub type trait impl enum struct "
-    "static const mut let fn".split()
-)
-STOP_WORDS = {"python": _PYTHON, "javascript": _SCRIPT, "typescript": _SCRIPT, "rust": _RUST}
-
-PREFIX_ROLES = {"n_": "count", "num_": "count", "nb_": "count", "has_": "boolean predicate", "is_": "boolean predicate"}
-SUFFIX_ROLES = {
-    "_fn": "callable", "_idx": "index", "_shape": "tensor shape", "_size": "dimension size", "_path": "file path",
-    "_list": "collection", "_map": "mapping", "_mask": "binary mask", "_count": "count",
-}
-CAMEL_ROLES = {"to": "conversion", "set": "mutator", "get": "accessor", "handle": "event handler implementation", "on": "event handler", "use": "React hook"}
+from ..fixed import CAMEL_ROLES, PREFIX_DEFAULT, PREFIX_ROLES, STOP_WORDS, SUFFIX_DEFAULT, SUFFIX_ROLES
 
 
 def stop_words(languages: str) -> set[str]:
@@ -77,15 +55,15 @@ def _role(table: dict[str, str], key: Column, default: str) -> Column:
 
 
 def prefix_role(prefix: Column) -> Column:
-    return _role(PREFIX_ROLES, prefix, "prefix pattern")
+    return _role(PREFIX_ROLES, prefix, PREFIX_DEFAULT)
 
 
 def suffix_role(suffix: Column) -> Column:
-    return _role(SUFFIX_ROLES, suffix, "suffix pattern")
+    return _role(SUFFIX_ROLES, suffix, SUFFIX_DEFAULT)
 
 
 def camel_prefix_role(prefix: Column) -> Column:
-    return _role(CAMEL_ROLES, prefix, "prefix pattern")
+    return _role(CAMEL_ROLES, prefix, PREFIX_DEFAULT)
 
 
 def concept_match(subtoken: Column, canonical: Column) -> Column:

@@ -9,14 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed import KNOWN_CONTRASTS
 from ..functions.text import abbreviation_class, split_identifier
 from ..functions.vectors import centroids, dot, unit
 
-#: Pairs of words that contrast by themselves.
-KNOWN_CONTRASTS = (
-    ("key", "query"), ("actual", "expected"), ("new", "old"), ("fixed", "moving"), ("left", "right"),
-    ("after", "before"), ("pred", "true"), ("input", "output"), ("src", "trg"), ("source", "target"),
-)
 DAMPING, ITERATIONS, EPSILON = 0.85, 50, 1e-6
 #: Rows of a table that is broadcast, at most; larger ones are shuffled.
 SMALL = 200_000

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import ROLE_SYNONYMS
 from ..functions.text import common_directory, format_params, last_part, normalize_type_annotation, scope_root, split_identifier
 from ..functions.vectors import centroids, cosine
 from ..operators import clusters, embedding, entities, graph
@@ -135,9 +136,6 @@ def check_naming(o: Ontology, identifier: str) -> DataFrame:
     return check_names(asked, o.concepts, o.occurrences, o.conventions)
 
 
-_SYNONYMS = {"count": "count", "number": "count", "boolean": "boolean predicate", "flag": "boolean predicate", "convert": "conversion", "conversion": "conversion"}
-
-
 @tool
 def suggest_name(o: Ontology, description: str) -> DataFrame:
     """(name, confidence): at most five names for a description, from the concepts its words match and a convention for its role."""
@@ -160,7 +158,7 @@ def suggest_name(o: Ontology, description: str) -> DataFrame:
     linked = linked.select(F.col("source").alias("canonical")).unionByName(linked.select(F.col("target").alias("canonical"))).distinct().withColumn("linked", F.lit(0.05))
     value = F.least(F.col("raw") + F.when(F.col("canonical").isin(words), 0.10).otherwise(0.0) + F.coalesce("linked", F.lit(0.0)) + F.log(F.coalesce("uses", F.lit(0)) + 1.0) * 0.02, F.lit(0.99))
     top = hits.join(linked, "canonical", "left").withColumn("s", value).orderBy(F.desc("s"), "canonical").limit(5)
-    roles = sorted({_SYNONYMS[x] for x in words if x in _SYNONYMS} | set(words))
+    roles = sorted({ROLE_SYNONYMS[x] for x in words if x in ROLE_SYNONYMS} | set(words))
     conv = o.conventions.where(F.col("semantic_role").isin(roles)).orderBy(F.desc("frequency"), "kind", "value").limit(1).select(F.col("kind").alias("ck"), F.col("value").alias("cv"))
     shaped = top.crossJoin(F.broadcast(conv)).withColumn("name", F.when(F.col("ck") == "Prefix", F.concat("cv", "canonical")).when(F.col("ck") == "Suffix", F.concat("canonical", "cv")).otherwise(F.concat("canonical", "cv", F.lit("x"))))
     exists = F.array_contains("ids", F.col("name"))

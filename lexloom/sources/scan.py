@@ -4,24 +4,16 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_GLOBS, DETECT_SKIPPED, TREE_SKIPPED
 from ..schemas import EXTENSIONS
 
-#: Directories that never count, when languages are detected and when git trees are read.
-SKIPPED = frozenset("node_modules target dist build venv env vendor site-packages __pycache__ third_party".split())
-ORDER = ("rust", "typescript", "javascript", "python")
-DEFAULT_GLOBS = {
-    "python": (["**/*.py"], ["**/test_*", "**/*_test.py", "**/tests/**", "**/conftest.py"]),
-    "typescript": (["**/*.ts", "**/*.tsx"], ["**/*.test.*", "**/*.spec.*", "**/*.d.ts"]),
-    "javascript": (["**/*.js", "**/*.jsx", "**/*.mjs", "**/*.cjs"], ["**/*.test.*", "**/*.spec.*", "**/*.min.js"]),
-    "rust": (["**/*.rs"], ["**/tests/**", "**/benches/**"]),
-}
-
 
 def language_of(path):
     """The language of a path column by its extension; null for others."""
@@ -30,17 +22,23 @@ def language_of(path):
 
 
 def language_counts(files: DataFrame, depth: int = 3) -> DataFrame:
-    """(language, n) of files (file, relative) not deeper than ``depth`` and in no hidden or skipped directory."""
+    """(language, n) of files (file, relative) of at most ``depth`` path parts, neither hidden nor in a hidden or skipped folder."""
     parts = F.split("file", "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    ok = (F.size(parts) <= depth + 1) & ~F.exists(folders, lambda x: F.startswith(x, F.lit(".")) | x.isin(*sorted(SKIPPED)))
+    ok = (F.size(parts) <= depth) & ~F.exists(parts, lambda x: F.startswith(x, F.lit("."))) & ~F.exists(folders, lambda x: x.isin(*DETECT_SKIPPED))
     return files.where(ok).select(language_of(F.col("file")).alias("language")).where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """(language, n): the most frequent language, ties in the order rust, typescript, javascript, python; one row at most."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("language"))
-    return language_counts(files).orderBy(F.desc("n"), rank).limit(1)
+    """One row (language, n): the dominant language and how many files count at all.
+
+    Rust must lead all others, TypeScript Python and JavaScript, JavaScript Python and TypeScript; else it is Python,
+    so also with no file.
+    """
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("language") == x, F.col("n"))), F.lit(0))
+    one = language_counts(files).agg(of("python").alias("py"), of("typescript").alias("ts"), of("javascript").alias("js"), of("rust").alias("rs"))
+    best = F.when(F.expr("rs > py and rs > ts and rs > js"), "rust").when(F.expr("ts > py and ts > js"), "typescript").when(F.expr("js > py and js > ts"), "javascript").otherwise("python")
+    return one.select(best.alias("language"), F.expr("py + ts + js + rs").alias("n"))
 
 
 def detect_all(files: DataFrame, min_files: int = 5) -> DataFrame:
@@ -55,8 +53,15 @@ def globs(languages: list[str], include: list[str] | None = None, exclude: list[
     return a, b
 
 
+def glob_regex(globs_: list[str]) -> str:
+    """A pattern for the paths that any of the globs names, or that lie in a folder it names. Without globs: none."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    made = ["".join(parts.get(x, re.escape(x)) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", g)) for g in globs_]
+    return f"^(?:{'|'.join(made)})(?:/.*)?$" if made else r"$.^"
+
+
 def _fits(path: str, patterns: list[str]) -> bool:
-    return any(fnmatch.fnmatch(path, p) or (p.startswith("**/") and fnmatch.fnmatch(path, p[3:])) for p in patterns)
+    return re.match(glob_regex(patterns), path) is not None
 
 
 def ignored(path: str, rules: list[str]) -> bool:
@@ -101,21 +106,24 @@ def list_files(root: str, include: list[str], exclude: list[str]) -> list[str]:
 def scan(spark: SparkSession, root: str, languages: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(file, language, content, modified) of a tree; files that are no UTF-8 are left out.
 
-    A local tree is listed on the driver for its ignore files; any other store is read by suffix. Contents are
-    read by the tasks.
+    A local tree is listed on the driver for its ignore files; in any other store the globs alone decide, as a
+    filter on the paths. Contents are read by the tasks.
     """
     inc, exc = globs(languages, include, exclude)
     if "://" in root:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        base = root.rstrip("/")
+        base = re.sub("^file:/+", "/", root).rstrip("/")
     else:
         base = str(Path(root).resolve())
         paths = [f"{base}/{p}" for p in list_files(base, inc, exc)]
         if not paths:
             return spark.createDataFrame([], "file string, language string, content string, modified timestamp")
         raw = spark.read.format("binaryFile").load(paths)
-    file = F.expr(f"substring(path, locate('{base}/', path) + {len(base) + 1})")
-    out = raw.select(file.alias("file"), "content", F.col("modificationTime").alias("modified")).withColumn("language", language_of(F.col("file")))
+    # Spark names local files file:/a where file:///a was asked for
+    local = F.regexp_replace("path", "^file:/+", "/")
+    file = F.substring(local, F.locate(base + "/", local) + F.lit(len(base) + 1), F.length(local))
+    named = raw.withColumn("file", file).where(F.regexp_like("file", F.lit(glob_regex(inc))) & ~F.regexp_like("file", F.lit(glob_regex(exc))))
+    out = named.select("file", "content", F.col("modificationTime").alias("modified")).withColumn("language", language_of(F.col("file")))
     return out.where(F.col("language").isin(languages) & F.is_valid_utf8(F.col("content").cast("string"))).select("file", "language", F.col("content").cast("string").alias("content"), "modified")
 
 
@@ -124,7 +132,7 @@ def git_tree(spark: SparkSession, repo: str, ref: str, languages: list[str], par
     listed = subprocess.run(["git", "-C", repo, "ls-tree", "-r", "--name-only", "-z", ref], capture_output=True)
     if listed.returncode:
         raise ValueError(f"cannot resolve {ref}: {listed.stderr.decode(errors='replace').strip()}")
-    names = [n for n in listed.stdout.decode(errors="replace").split("\0") if EXTENSIONS.get(n.rpartition(".")[2]) in languages and not SKIPPED & set(n.split("/")[:-1])]
+    names = [n for n in listed.stdout.decode(errors="replace").split("\0") if EXTENSIONS.get(n.rpartition(".")[2]) in languages and not any(x in n[: n.rfind("/") + 1] for x in TREE_SKIPPED)]
     paths = spark.createDataFrame([(n,) for n in names], "file string").repartition(partitions)
 
     def read(parts):

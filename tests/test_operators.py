@@ -133,7 +133,7 @@ def test_embedder_and_flows(spark):
 
 def test_subconcepts_split_a_concept(spark):
     names = {"p": ["load_mask_x", "load_mask_y", "load_mask_z"], "q": ["draw_mask_u", "draw_mask_v", "draw_mask_w"]}
-    occ = spark.createDataFrame([("mask", n, f) for f, x in names.items() for n in x for f in (f + "1", f + "2", f + "3")], "canonical string, identifier string, file string")
+    occ = spark.createDataFrame([("mask", n, f) for k, x in names.items() for n in x for f in (k + "1", k + "2", k + "3")], "canonical string, identifier string, file string")
     none = spark.createDataFrame([], "identifier string, t string")
     assert {r.qualifier: r.identifiers for r in G.subconcepts(occ, none).collect()} == {"load": names["p"], "draw": names["q"]}
 

@@ -1,11 +1,12 @@
 import os
+import re
 import subprocess
 
 import pytest
 
 from lexloom.sources import config, store
 from lexloom.sources.frontends import parse, parse_text, relation
-from lexloom.sources.scan import check_root, detect, git_tree, globs, ignored, list_files, scan
+from lexloom.sources.scan import check_root, detect, git_tree, glob_regex, globs, ignored, list_files, scan
 from lexloom.streaming.watch import enrich, watch
 
 PY = '''"""Module."""
@@ -80,7 +81,12 @@ def test_scan_and_store(spark, tree, tmp_path):
     inc, exc = globs(["python", "typescript"])
     assert list_files(tree, inc, exc) == ["a.py", "e.ts", "pkg/b.py"]
     assert ignored("a/b/c.log", ["*.log", "!keep.log"]) and not ignored("keep.log", ["*.log", "!keep.log"])
+    rx = glob_regex(["**/test_*", "**/node_modules", "src/?.py"])
+    assert [bool(re.match(rx, p)) for p in ("test_a.py", "x/test_d/y.py", "a/node_modules/b/c.js", "src/a.py", "latest_a.py", "src/ab.py")] == [True, True, True, True, False, False]
+    assert not re.match(glob_regex([]), "") and not re.match(glob_regex([]), "a")
     files = scan(spark, tree, ["python", "typescript"])
+    far = scan(spark, f"file://{tree}", ["python", "typescript"])
+    assert sorted(r.file for r in far.collect()) == ["a.py", "e.ts", "out/d.py", "pkg/b.py"]
     assert sorted((r.file, r.language) for r in files.collect()) == [("a.py", "python"), ("e.ts", "typescript"), ("pkg/b.py", "python")]
     assert detect(files).first().language == "python"
     parsed = parse(files)
@@ -97,6 +103,14 @@ def test_scan_and_store(spark, tree, tmp_path):
     assert {(r.file, r.change) for r in store.changes(back["manifest"], now).collect()} == {("a.py", "modified"), ("e.ts", "removed")}
 
 
+def test_detection(spark):
+    of = lambda *names: tuple(detect(spark.createDataFrame([(n,) for n in names], "file string")).first())
+    assert of() == ("python", 0)
+    assert of("a.rs", "b.rs", "c.py") == ("rust", 3) and of("a.rs", "b.ts") == ("typescript", 2)
+    assert of("a.ts", "b.js") == ("python", 2) and of("a.mjs") == ("javascript", 1)
+    assert of("node_modules/a.js", ".x/b.js", ".c.js", "a/b/c/d.js", "a/b/c.py") == ("python", 1)
+
+
 def test_git_tree(spark, tree):
     git = lambda *a: subprocess.run(["git", "-C", tree, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     git("init", "-q")
