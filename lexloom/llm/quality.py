@@ -200,7 +200,9 @@ class Network:
 
     def _logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -20, 20)
-        return np.clip(np.tanh(z @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3], -60, 60)
+        # not by a matrix product, whose last digits depend on a row's place in the batch
+        hidden = np.tanh(np.einsum("ij,jk->ik", z, self.p[0]) + self.p[1])
+        return np.clip((hidden * self.p[2]).sum(axis=1) + self.p[3], -60, 60)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
