@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import concept_match, last_part, scope_root, split_identifier
 from .conventions import matches
+from .graph import settled, small
 
 
 def key(name="name", file="file", line="line"):
@@ -101,8 +102,7 @@ def with_roles(entities: DataFrame, classes: DataFrame, conventions: DataFrame)
     """Add ``semantic_role``: module classes, else the first convention that fits (most frequent, then by kind and value), else by the last concept."""
     modules = classes.where(F.exists("bases", lambda b: last_part(b) == "Module")).select(F.col("name")).distinct().withColumn("module", F.lit(True))
     names = entities.select("name").distinct()
-    # conventions are as few as their patterns: a bounded report of the vocabulary, at most 100,000
-    conv = F.broadcast(conventions.select(F.col("kind").alias("ck"), "value", F.col("semantic_role").alias("role"), "frequency").limit(100_000))
+    conv = small(settled(conventions.select(F.col("kind").alias("ck"), "value", F.col("semantic_role").alias("role"), "frequency")))
     fit = names.join(conv, matches(F.col("name"), F.col("ck"), F.col("value"))).groupBy("name").agg(F.min_by("role", F.struct(-F.col("frequency"), "ck", "value")).alias("role"))
     joined = entities.join(modules, "name", "left").join(fit, "name", "left")
     last = F.element_at("tags", -1)

@@ -26,6 +26,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows, which is looked up; else as it is, whole."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder and read again, so that an iteration's lineage stays short."""
     path = f"{checkpoint_dir(df.sparkSession)}/lexloom-step-{uuid.uuid4().hex}"

@@ -48,10 +48,11 @@ def resolve_concept(o: Ontology, term: str) -> DataFrame:
     return out.orderBy("rank", "canonical").limit(1).select("canonical")
 
 
-def _related(o: Ontology, one: DataFrame, most: int) -> DataFrame:
+def _related(o: Ontology, one: DataFrame, most: int | None = None) -> DataFrame:
     e = o.edges.where("kind in ('CoOccurs', 'SimilarTo', 'AbbreviationOf', 'Contrastive')")
     both = e.select("source", "target", "kind", "weight").unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"), "kind", "weight"))
-    return both.join(one.withColumnRenamed("canonical", "source"), "source", "left_semi").select(F.col("target").alias("name"), "kind", "weight").orderBy((F.col("kind") == "Contrastive").cast("int").desc(), F.desc("weight"), "name", "kind").limit(most)
+    found = both.join(one.withColumnRenamed("canonical", "source"), "source", "left_semi").select(F.col("target").alias("name"), "kind", "weight")
+    return found if most is None else found.orderBy((F.col("kind") == "Contrastive").cast("int").desc(), F.desc("weight"), "name", "kind").limit(most)
 
 
 @tool
@@ -69,7 +70,7 @@ def query_concept(o: Ontology, term: str, max_related: int = 10, max_occurrences
         detail = F.lit(None).cast("string") if detail is None else detail
         weight = F.lit(None).cast("double") if weight is None else weight.cast("double")
         w = Window.orderBy(*rank)
-        top = df.orderBy(*rank).limit(most if most is not None else 1000)
+        top = df if most is None else df.orderBy(*rank).limit(most)
         return top.select(F.lit(name).alias("section"), F.row_number().over(w).alias("rank"), label.alias("name"), detail.alias("detail"), weight.alias("weight"))
 
     sig = o.signatures.join(F.broadcast(one), F.contains(F.lower("name"), F.col("canonical")))
@@ -107,8 +108,8 @@ def check_names(asked: DataFrame, concepts: DataFrame, occurrences: DataFrame, c
     toks = own.select("low", F.explode(split_identifier("input")).alias("t")).distinct()
     words = toks.select("t").distinct()
     total = occurrences.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses"))
-    # concepts against the distinct subtokens of what is asked: the vocabulary is the bounded side
-    close = words.join(F.broadcast(concepts.select("canonical").limit(200_000)), F.contains("t", F.col("canonical")) | F.contains(F.col("canonical"), F.col("t")))
+    # concepts against the distinct subtokens of what is asked, with the vocabulary as the side that is broadcast while small
+    close = words.join(graph.small(concepts.select("canonical")), F.contains("t", F.col("canonical")) | F.contains(F.col("canonical"), F.col("t")))
     close = graph.settled(close)
     per = occurrences.groupBy("canonical", F.lower("identifier").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     by_name = close.join(per, "canonical").select("t", "name", "n")
@@ -117,7 +118,7 @@ def check_names(asked: DataFrame, concepts: DataFrame, occurrences: DataFrame, c
     best_t = by_name.unionByName(by_self).unionByName(begun).groupBy("t", "name").agg(F.max("n").alias("n"))
     best = toks.join(best_t, "t").where("name <> low").groupBy("low").agg(F.min(F.struct((-F.col("n")).alias("m"), "name")).alias("b")).select("low", F.col("b.name").alias("best"), (-F.col("b.m")).alias("best_n"))
     prefix = conventions.where("kind = 'Prefix' and value in ('n_', 'nb_', 'num_')").orderBy(F.desc("frequency"), "value").limit(1).select(F.col("value").alias("count_prefix"))
-    conv = F.broadcast(conventions.select("kind", "value", "frequency").limit(100_000))
+    conv = graph.small(graph.settled(conventions.select("kind", "value", "frequency")))
     fits = own.join(conv, C.matches(F.col("input"), F.col("kind"), F.col("value"))).groupBy("low").agg(F.min(F.struct((-F.col("frequency")).alias("m"), "kind", "value")).alias("c")).select("low", F.col("c.value").alias("convention"))
     j = own.join(best, "low", "left").join(fits, "low", "left").join(F.broadcast(prefix), F.lit(True), "left")
     worse = (F.col("used") > 0) & (F.col("best_n") > F.col("used"))
@@ -258,7 +259,7 @@ def locate_concept(o: Ontology, term: str) -> DataFrame:
     cls = c.withColumn("score", F.when(F.coalesce("hit", F.lit(False)) | held, 3).otherwise(0) + F.size(F.filter("methods", lambda m: F.contains(F.lower(m), F.col("canonical"))))).where("score > 0")
     cls = cls.orderBy(F.desc("score"), "name", "file", "line").limit(3).select(F.lit("class").alias("section"), "name", "file", F.col("score").cast("double").alias("score"))
     files = names.groupBy("file").agg(F.count(F.lit(1)).cast("double").alias("score")).select(F.lit("file").alias("section"), F.lit(None).cast("string").alias("name"), "file", "score")
-    apart = _related(o, one, 1000).where("kind = 'Contrastive'").select(F.lit("contrast").alias("section"), "name", F.lit(None).cast("string").alias("file"), F.col("weight").alias("score"))
+    apart = _related(o, one).where("kind = 'Contrastive'").select(F.lit("contrast").alias("section"), "name", F.lit(None).cast("string").alias("file"), F.col("weight").alias("score"))
     ent = o.entities.join(F.broadcast(one), F.array_contains("tags", F.col("canonical"))).drop("canonical")
     key = _ranked(o, ent, 5).select(F.lit("entity").alias("section"), "name", "file", F.col("density").alias("score"))
     out = sig
@@ -295,7 +296,7 @@ def list_entities(o: Ontology, concept: str | None = None, role: str | None = No
 def coverage(occurrences: DataFrame, conventions: DataFrame) -> DataFrame:
     """(identifier, covered): whether any convention fits each distinct identifier."""
     names = occurrences.select("identifier").distinct()
-    conv = F.broadcast(conventions.select("kind", "value").limit(100_000))
+    conv = graph.small(graph.settled(conventions.select("kind", "value")))
     hit = names.join(conv, C.matches(F.col("identifier"), F.col("kind"), F.col("value")), "left_semi").withColumn("covered", F.lit(True))
     return names.join(hit, "identifier", "left").na.fill(False, ["covered"])
 
@@ -503,7 +504,7 @@ def pack_rows(concepts: DataFrame, occurrences: DataFrame, conventions: DataFram
 
 @tool
 def generate_ontology_md(o: Ontology) -> DataFrame:
-    """One row (markdown): top concepts, conventions, abbreviations, top entities, co-occurrences."""
+    """One row (markdown): top 20 concepts, entities and co-occurrences; conventions and abbreviations, the first 1,000 of each."""
     table = lambda head, rows: "\n".join([f"## {head}", "", *rows, ""])
     concepts = [f"- {r.canonical} ({r.occurrences})" for r in list_concepts(o, 20).collect()]
     conv = [f"- `{r.value}` {r.kind.lower()}: {r.semantic_role} ({r.frequency})" for r in list_conventions(o).limit(1000).collect()]

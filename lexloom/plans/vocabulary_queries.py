@@ -8,6 +8,7 @@ from .. import adapters as A
 from ..functions import text as T
 from ..operators import conventions as C
 from ..operators import vocabulary as V
+from ..operators.graph import settled, small
 from ..registry import query
 
 R = 6
@@ -149,8 +150,8 @@ def co_occurrence(spark, d):
 def convention_coverage(spark, d):
     ids = A.identifiers(spark, d)
     names = ids.groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
-    found = C.conventions(ids).select("kind", "value")
-    hit = names.join(F.broadcast(found.limit(100_000)), C.matches(F.col("name"), F.col("kind"), F.col("value")), "left")
+    found = settled(C.conventions(ids).select("kind", "value"))
+    hit = names.join(small(found), C.matches(F.col("name"), F.col("kind"), F.col("value")), "left")
     return hit.groupBy("name", "uses").agg(F.count("kind").alias("n_conventions"))
 
 
