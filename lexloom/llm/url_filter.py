@@ -54,8 +54,9 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     """(kind, host, value) after ``rounds`` rounds, from seeds (kind, host, mass) over edges (kind, src, dst, share)."""
     rank = seeds.select("kind", "host", F.col("mass").alias("value"))
     start = seeds.select("kind", "host", (F.col("mass") * F.lit(1 - damping)).alias("value"))
+    steps = edges.select(F.col("kind").alias("k"), "src", "dst", "share")
     for i in range(rounds):
-        sent = rank.join(edges, (rank["kind"] == edges["kind"]) & (rank["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.col("value") * F.col("share") * F.lit(damping)).alias("value"))
+        sent = rank.join(steps, (F.col("kind") == F.col("k")) & (F.col("host") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.col("value") * F.col("share") * F.lit(damping)).alias("value"))
         rank = start.unionByName(sent).groupBy("kind", "host").agg(F.sum("value").alias("value"))
         if i % 4 == 3:
             rank, _ = written(rank, "rank")
