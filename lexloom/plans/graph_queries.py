@@ -50,9 +50,13 @@ FREQUENT = r"""
 words AS (SELECT t AS canonical, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS t FROM documents) GROUP BY t ORDER BY n DESC, t LIMIT 300)"""
 
 
+def all_words(spark, d):
+    """The words of documents, a row for each use."""
+    return A.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("canonical"))
+
+
 def frequent_words(spark, d, top: int = 300):
-    docs = A.table(spark, d, "documents")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("canonical"))
+    words = all_words(spark, d)
     return words.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "canonical").limit(top)
 
 
@@ -84,6 +88,18 @@ def find_abbreviation(spark, d):
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("short").orderBy("class", F.length("long"), "long"))).where("rn = 1").select("short", F.col("long").alias("expansion"), "class")
 
 
+@query("all_abbreviation_edges")
+def all_abbreviation_edges(spark, d):
+    """abbreviation_edges of all distinct words; its SQL has the 300 most frequent ones only."""
+    return G.abbreviation_edges(G.settled(all_words(spark, d).distinct()))
+
+
+@query("find_all_abbreviations")
+def find_all_abbreviations(spark, d):
+    """find_abbreviation over all distinct words; its SQL has the 300 most frequent ones only."""
+    return G.best_expansion(G.settled(all_words(spark, d).distinct()))
+
+
 @query(
     "match_concept",
     f"""WITH {A.VOCABULARY}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS w FROM benchmark UNION SELECT canonical || 's' FROM concepts),
