@@ -15,7 +15,7 @@ from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .quality import quality
 from .token_counts import count_tokens
-from .url_filter import judge, oracle
+from .url_filter import judge, judge_by_own_links, oracle
 from .warc import archive_pages
 
 def tokenizer_path(name: str) -> str:
@@ -159,3 +159,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_url_filter", oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "pages"))
+
+
+@query("url_filter_by_own_links")
+def url_filter_by_own_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_url_filter by a measure that doesn't shrink with the number of hosts that link to a blocked one; op6's SQL has the other."""
+    return judge_by_own_links(read_table(spark, sf_dir, "pages"))

@@ -18,6 +18,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DAMPING, ROUNDS = 0.85, 10
 #: A host is blocked when its distrust is over its trust and at least this (a seed alone has 1 - DAMPING).
 LEAST = 0.1
+#: judge_by_own_links: a host is blocked at this suspicion, which half its links to blocked hosts give.
+LEAST_SUSPICION = DAMPING / 2
 #: Rules up to so many become one expression; more are joined by host.
 INLINE_RULES = 200
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>]+)"""
@@ -63,16 +65,8 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, trust, distrust.
-
-    verdict is the longest fitting rule's, else ``block`` when the host's distrust is over its trust and at
-    least ``least``, else ``allow``. Trusted seeds are the hosts of which rules allow more than half the
-    pages, blocked seeds those of which they block more than half. Links are absolute href targets;
-    a host's links to itself do not count. A null url, or one without ``://``, has empty host and path,
-    takes part in no graph and is allowed; a null html has no links. Repeated rows repeat; other
-    columns are ignored; an empty table gives an empty result.
-    """
+def _graph(pages: DataFrame, rules) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages without their html, seeds (kind, host, mass) and links between hosts (src, dst, w), as judge() defines them."""
     host, path = host_and_path(F.col("url").cast("string"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     own = ruled(own, rules)
@@ -84,6 +78,20 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     seeds = hosts.where("a > 0.5").select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("mass")).unionByName(hosts.where("b > 0.5").select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("mass")))
     seeds, _ = written(seeds, "seeds")
     pairs = kept.where("host <> ''").select(F.col("host").alias("src"), F.explode("links").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return kept, seeds, pairs
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, trust, distrust.
+
+    verdict is the longest fitting rule's, else ``block`` when the host's distrust is over its trust and at
+    least ``least``, else ``allow``. Trusted seeds are the hosts of which rules allow more than half the
+    pages, blocked seeds those of which they block more than half. Links are absolute href targets;
+    a host's links to itself do not count. A null url, or one without ``://``, has empty host and path,
+    takes part in no graph and is allowed; a null html has no links. Repeated rows repeat; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    kept, seeds, pairs = _graph(pages, rules)
     both = pairs.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(pairs.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     both, _ = written(both, "links")
     if both.isEmpty():
@@ -98,6 +106,30 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int =
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 
+def judge_by_own_links(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, least: float = LEAST_SUSPICION) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, suspicion. As judge(), but by where a host's own links lead.
+
+    Suspicion is 1 for a blocked seed, 0 for a trusted one, else ``damping`` times the mean suspicion over the host's links,
+    after ``rounds`` rounds: it doesn't shrink when others link to the same hosts. A host without a rule is blocked
+    from ``least`` on.
+    """
+    kept, seeds, pairs = _graph(pages, rules)
+    blocked = seeds.where("kind = 'distrust'").select("host", F.col("mass").alias("value"))
+    pairs, _ = written(pairs, "links")
+    value = blocked
+    if not pairs.isEmpty():
+        total = pairs.groupBy("src").agg(F.sum("w").alias("total"))
+        free = pairs.join(seeds.select(F.col("host").alias("src")), "src", "left_anti")
+        steps, _ = written(free.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "edges")
+        for i in range(rounds):
+            sent = steps.join(value, F.col("dst") == F.col("host")).groupBy("src").agg(F.sum(F.col("share") * F.col("value") * F.lit(damping)).alias("value"))
+            value = blocked.unionByName(sent.withColumnRenamed("src", "host"))
+            if i % 4 == 3:
+                value, _ = written(value, "suspicion")
+    joined = kept.join(value.select("host", F.round("value", 9).alias("suspicion")), "host", "left").na.fill(0.0, ["suspicion"])
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("suspicion") >= F.lit(least), "block").otherwise("allow")).alias("verdict"), "suspicion")
+
+
 def oracle(rounds: int = ROUNDS) -> str:
     """The same in SQL, its rounds written out."""
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
