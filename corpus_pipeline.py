@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of ``benchmark``."""
-    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), k=5, percent=80)
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), k=5, percent=80, by_text=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,7 +173,12 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(verify, RESULT)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that contain no test item, with all their columns; those without an id stay."""
-    leaks = contaminated(docs, benchmark, k, percent).select(F.col("doc_id").alias("_lx_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long") == F.col("_lx_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
+    """The documents that contain no test item, with all their columns; those without an id stay.
+
+    With ``by_text`` the decision is carried by a 64-bit hash of the text and not by the id: each row goes or stays by its
+    own text, also without an id or with one that repeats.
+    """
+    own = F.xxhash64("text") if by_text else F.col("doc_id").cast("long")
+    leaks = contaminated(docs.select(own.alias("doc_id"), "text"), benchmark, k, percent).select(F.col("doc_id").alias("_lx_id")).distinct()
+    return docs.join(leaks, own == F.col("_lx_id"), "left_anti")
