@@ -28,9 +28,56 @@ _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts with other characters than these take the slower, fully Unicode-aware patterns.
 _RARE = re.compile("[\\x1c-\\x1f\\x85\\xb2\\xb3\\xb9\\xbc-\\xbe\\u0250-\\u200f\\u2028-\\u202f\\u2030-\\U0010ffff]")
 _QUICK_BYTE = re.compile(r""" ?[^\W\d_]+| ?(?:[^\s\w']|_)(?:[^\s\w]|_)*|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+| ?\d+|\s+(?!\S)|\s+""")
-_FULL_BYTE = regex.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+""")
 _QUICK_WORD = re.compile(r"""[^\W\d_]+|(?:[^\s\w']|_)(?:[^\s\w]|_)*|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+|\d""")
-_FULL_WORD = regex.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+""")
+
+# What Unicode tables of different age disagree on. The tokenizers library takes letters and numbers as of
+# Unicode 16, lower-cases as of 17, and composes as of 9; this Python and the regex package have other versions.
+#: Ranges of letters and numbers that came after 16.
+_LATER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda
+18d09-18d20 18d80-18df2 18e00-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5
+1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+#: Ranges of capitals that came after 15.1, with the lower-case letter of the first.
+_LATER_CAPITALS = "1c89:1c8a a7cb:264 a7cc:a7cd a7ce:a7cf a7d2:a7d3 a7d4:a7d5 a7da:a7db a7dc:19b 10d50-10d65:10d70 16ea0-16eb8:16ebb"
+#: Ranges of marks that came after 9 and so neither compose nor change places.
+_LATER_MARKS = """7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85
+11070 1133b 1145e 11839-1183a 11930 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f
+1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"""
+
+
+def _ranges(listed: str) -> str:
+    """The inside of a character class."""
+    return "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in listed.split())
+
+
+def _lower_map(listed: str) -> dict[int, int]:
+    out = {}
+    for capitals, low in (x.split(":") for x in listed.split()):
+        first, last = (int(x, 16) for x in (capitals + "-" + capitals).split("-")[:2]) if "-" in capitals else (int(capitals, 16),) * 2
+        out |= {first + i: int(low, 16) + i for i in range(last - first + 1)}
+    return out
+
+
+_LOWER = _lower_map(_LATER_CAPITALS)
+_NEWLY_CASED = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_MARK = re.compile(f"([{_ranges(_LATER_MARKS)}])")
+_L, _N, _OTHER = rf"[\p{{L}}--[{_ranges(_LATER)}]]", rf"[\p{{N}}--[{_ranges(_LATER)}]]", rf"[[^{_WHITE}\p{{L}}\p{{N}}]{_ranges(_LATER)}]"
+_FULL_BYTE = regex.compile(rf"""(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_OTHER}+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+""")
+_FULL_WORD = regex.compile(rf"""(?V1)'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|{_OTHER}+""")
+
+
+def composed(text: str) -> str:
+    """NFC, with marks that composition does not know left where they are."""
+    if not _RARE.search(text) or not _MARK.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", x) for x in _MARK.split(text))
+
+
+def lowered(text: str) -> str:
+    """Every character's full lower-case form; a sigma at a word's end is like any other."""
+    if _RARE.search(text) and _NEWLY_CASED.search(text):
+        text = text.translate(_LOWER)
+    return text.replace("Σ", "σ").lower()
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -71,8 +118,7 @@ class Bpe:
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
         if self.lower:
-            text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ").lower()
+            text = lowered(composed(text))
             return (_FULL_WORD if _RARE.search(text) else _QUICK_WORD).findall(text)
         return (_FULL_BYTE if _RARE.search(text) else _QUICK_BYTE).findall(text)
 

@@ -1,6 +1,5 @@
 import hashlib
 import random
-import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -26,13 +25,37 @@ def random_texts(n):
 
 
 def all_chars():
-    return ["".join("a" + chr(c) + "b " for c in range(low, min(low + 500, 0x110000)) if unicodedata.category(chr(c)) not in ("Cs", "Cn")) for low in range(1, 0x3000, 500)]
+    """Every code point, assigned or not: in a word, alone, doubled, beside numbers, and between and after marks."""
+    for c in range(1, 0x110000):
+        if not 0xD800 <= c < 0xE000:
+            x = chr(c)
+            yield f"a{x}b {x} {x}{x} 1{x}2 á{x}\u0323 a{x}\u0301{x}"
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_are_the_librarys_for_every_code_point(path):
+    theirs, ours = Tokenizer.from_file(path), Bpe(open(path, encoding="utf-8").read())
+    texts = list(all_chars())
+    for low in range(0, len(texts), 50_000):
+        part = texts[low : low + 50_000]
+        bad = [x[1] for x, e in zip(part, theirs.encode_batch(part, add_special_tokens=False), strict=True) if ours.encode(x) != e.ids]
+        assert not bad
+
+
+def test_words_split_as_in_the_library_for_every_code_point():
+    """Classes of characters, also where the ids would not show them."""
+    for path, full in ((BYTE, "_FULL_BYTE"), (WORD, "_FULL_WORD")):
+        ours, split = Bpe(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+        texts = [f"a{chr(c)}1{chr(c)}-{chr(c)} {chr(c)}a" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+        for x in texts:
+            plain = split.normalizer.normalize_str(x) if split.normalizer else x
+            assert [w[1][1] - w[1][0] for w in split.pre_tokenizer.pre_tokenize_str(plain)] == [len(w) for w in ours.words(x)], (full, x)
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_ids_are_the_librarys(path):
     theirs, ours = Tokenizer.from_file(path), Bpe(open(path, encoding="utf-8").read())
-    for text in TEXTS + random_texts(400) + all_chars():
+    for text in TEXTS + random_texts(400) + ['\U00011935\U00011930 \U00011938', 'x' * 200_000, 'word ' * 60_000]:
         want = theirs.encode(text, add_special_tokens=False).ids
         assert ours.encode(text) == want, text[:80]
         assert ours.decode(want) == theirs.decode(want, skip_special_tokens=False), text[:80]
