@@ -87,12 +87,33 @@ def test_languages_are_told_apart(spark):
     assert got[1006][0].lang_pred == "aa" and all(0 <= x.score <= 1 for xs in got.values() for x in xs)
 
 
-def test_a_lower_order_is_taken_for_many_grams(spark):
-    docs = language_docs(spark, language_rows())
-    model = L.train(docs.select("doc_id", "text", "lang"), max_ngrams=200)
-    assert model.order < L.ORDER and model.langs == sorted(SYLLABLES)
-    full = L.train(docs.select("doc_id", "text", "lang"))
-    assert full.order == L.ORDER
+def test_choice_and_rejection_are_the_brute_force(spark):
+    """Entropies by the textbook recursion for each language, the least one chosen, and rejected by the calibrated limits."""
+    r = random.Random(6)
+    rows = [(i, text_of(r, lang, 6), lang) for i, lang in enumerate(sorted(SYLLABLES) * 8)]
+    asked = ["kalomi tu", "schuten ger", "eauoir", "zz qq xx", "ka schu eau", "mi", "漢字 ka"]
+    docs = language_docs(spark, rows + [(1000 + i, t, None) for i, t in enumerate(asked)])
+    own = docs.select("doc_id", "text", "lang")
+    model = L.train(own)
+    fit = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    p = [brute_probability([t for t, x in fit if x == lang], L.ORDER, float(model.floor)) for lang in model.langs]
+    got = {x.doc_id: x for x in L.identify(own, model).collect()}
+    for i, t in [(1000 + i, t) for i, t in enumerate(asked)] + [(i, t) for i, t, _ in rows[:4]]:
+        padded = "\x01" * (L.ORDER - 1) + t
+        entropy = [-np.mean([math.log(q(padded[e - L.ORDER + 1 : e + 1])) for e in range(L.ORDER - 1, len(padded))]) for q in p]
+        best = int(np.argmin(entropy))
+        z = np.exp(-(np.array(entropy) - min(entropy)) / model.calibration["temperature"])
+        score = z[best] / z.sum()
+        assert got[i].lang_pred == model.langs[best] and got[i].cross_entropy == pytest.approx(entropy[best], abs=1e-3)
+        assert got[i].score == pytest.approx(score, abs=0.02)
+        assert got[i].rejected == (entropy[best] > model.calibration["limits"][best] or score < L.LEAST)
+
+
+def test_marks_alone_are_no_letters(spark):
+    texts = ["\u0301", "\u0300\u0301 123", "\u0903\u20dd", "a\u0301", "\u0301 ka"]
+    docs = language_docs(spark, language_rows() + [(2000 + i, t, None) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.lang_pred for r in L.language_id(docs).collect()}
+    assert [got[2000 + i] == "und" for i in range(5)] == [True, True, True, False, False]
 
 
 def test_identification_without_labels(spark):
