@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import minhash
+from lexloom.llm.common import shared_dir
 from lexloom.llm.components import components
 from lexloom.llm.exact_dedup import drop_copies, exact_dedup
 from lexloom.llm.line_dedup import LineRuns, dedup_lines
@@ -80,7 +81,7 @@ def lines_brute(rows, least, min_chars):
     for i, t in rows:
         for k in {key_of(x) for x in (t or "").split("\n")}:
             found.setdefault(k, set()).add(i)
-    bad = {k for k, ids in found.items() if len(k) >= min_chars and k and len(ids) >= least}
+    bad = {k for k, ids in found.items() if len(k) >= min_chars and len(ids) >= least}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -96,7 +97,7 @@ def line_rows():
     return rows + [(100, None), (101, ""), (102, "\n\n"), (3, "share this"), (3, "share this\nline 1")]
 
 
-@pytest.mark.parametrize(("batches", "fanout", "shipped", "min_chars"), [(1, 3, 400_000, 1), (7, 2, 400_000, 1), (4, 3, 0, 1), (3, 2, 400_000, 2)])
+@pytest.mark.parametrize(("batches", "fanout", "shipped", "min_chars"), [(1, 3, 400_000, 1), (7, 2, 400_000, 1), (4, 3, 0, 1), (3, 2, 400_000, 2), (2, 2, 400_000, 0), (2, 2, 0, 0)])
 def test_line_dedup_is_the_brute_force(spark, batches, fanout, shipped, min_chars):
     rows = line_rows()
     got = dedup_lines(docs_of(spark, rows), min_docs=5, min_chars=min_chars, batches=batches, fanout=fanout, shipped_keys=shipped)
@@ -117,6 +118,44 @@ def test_runs_are_levelled(spark):
     assert [tuple(r) for r in runs.frequent().collect()] == [(7, 7)]
 
 
+def files(spark):
+    import glob
+
+    return glob.glob(shared_dir(spark).removeprefix("file:") + "/lexloom-run-*")
+
+
+def test_runs_are_merged_without_shuffle_or_sort_and_then_deleted(spark):
+    before = len(files(spark))
+    runs = LineRuns(spark, min_docs=3, fanout=3, buckets=4)
+    batch = lambda i: spark.range(2000).select((F.col("id") % 97).alias("hi"), (F.col("id") % 7 * (i + 1)).alias("lo"))
+    for i in range(2):
+        runs.add(batch(i))
+    with runs._sorted_scans():
+        plan = runs._unsettled(batch(5).repartition(4, "hi", "lo").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # the batch only
+    for i in range(7):
+        runs.add(batch(i % 3))
+    live = sum(map(len, runs.levels)) + (runs.old is not None)
+    assert live <= 7 and len(files(spark)) - before == live
+    seen = {}
+    for i in [0, 1, *(j % 3 for j in range(7))]:
+        for k in [(r.hi, r.lo) for r in batch(i).collect()]:
+            seen[k] = seen.get(k, 0) + 1
+    assert {tuple(r) for r in runs.frequent().collect()} == {k for k, n in seen.items() if n >= 3}
+    runs.drop()
+    assert len(files(spark)) == before
+
+
+def test_lines_of_a_very_long_text(spark):
+    """A text of 200,000 lines and one line of two million characters, with rows without an id."""
+    long = "\n".join(f"l{i % 70_000}" for i in range(200_000))
+    rows = [(1, long), (2, "z" * 2_000_000 + "\nl5"), (3, "Z" * 2_000_000), (None, "l5\nl6"), (None, "l6"), (None, "l6\nl7")]
+    for shipped in (400_000, 0):
+        got = dedup_lines(docs_of(spark, rows), min_docs=2, shipped_keys=shipped)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got.collect()), key=repr) == lines_brute(rows, 2, 1)
+
+
 # near duplicates
 
 
