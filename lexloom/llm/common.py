@@ -63,14 +63,14 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """big joined with small on ``keys``, so that no task gathers all rows of a hot key.
 
-    counts: (keys, n), how many rows of big have a key, if that is known; keys that are left out are not hot. Rows of a hot
+    counts: (keys, rows), how many rows of big have a key, if that is known; keys that are left out are not hot. Rows of a hot
     key are dealt over as many pieces as keep each within the bound, and its rows of small are repeated for each piece. The
     pieces of all hot keys together are at most twice HOT_SHARE. big should be a written table, as it is counted first.
     """
     limit = max(LEAST_HOT, big.count() // HOT_SHARE)
     if counts is None:
-        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > limit).select(F.xxhash64(*keys).alias("_lx_h"), F.ceil(F.col("n") / limit).cast("int").alias("_lx_pieces")).groupBy("_lx_h").agg(F.max("_lx_pieces").alias("_lx_pieces")).collect()
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    hot = counts.where(F.col("rows") > limit).select(F.xxhash64(*keys).alias("_lx_h"), F.ceil(F.col("rows") / limit).cast("int").alias("_lx_pieces")).groupBy("_lx_h").agg(F.max("_lx_pieces").alias("_lx_pieces")).collect()
     if not hot:
         return big.join(small, keys, how)
     table = F.broadcast(big.sparkSession.createDataFrame([tuple(r) for r in hot], "_lx_h long, _lx_pieces int"))  # fewer than HOT_SHARE rows

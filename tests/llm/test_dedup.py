@@ -54,6 +54,29 @@ def test_exact_dedup_is_the_brute_force(spark, few):
     assert sorted((tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr) == exact_brute(rows)
 
 
+def test_long_texts_go_through_all_rounds(spark):
+    """Texts of up to two million characters that differ first, last, or at a run's border, and a hot group of copies."""
+    r = random.Random(8)
+    long = "".join(r.choice("abcd ") for _ in range(2_000_000)).replace("  ", "a ")
+    rows, i = [], 0
+    for n in (64, 65, 319, 320, 321, 1344, 1345, 5440, 21_824, 87_360, 87_361, 349_504, 1_400_000, len(long)):
+        for t in (long[:n], long[:n], long[: n - 1] + "X", long[: n - 1] + "Y", "X" + long[1:n]):
+            rows.append((i := i + 1, t))
+    rows += [(10_000 + j, long[:5000]) for j in range(700)]
+    docs = docs_of(spark, rows)
+    got = exact_dedup(docs)
+    assert sorted((tuple(x) for x in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr) == exact_brute(rows)
+    assert sorted(x.doc_id for x in drop_copies(docs).select("doc_id").collect()) == sorted(i for i, _, _, kept, _ in exact_brute(rows) if kept)
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_drop_copies_of_rows_without_ids(spark, few):
+    rows = [(None, "a"), (None, "a"), (None, "b"), (3, "b"), (None, None), (None, ""), (4, "c"), (4, "c"), (4, "d"), (5, "d "), (6, None)]
+    out = [(r.doc_id, r.text) for r in drop_copies(docs_of(spark, rows), broadcast_ids=few).collect()]
+    assert sorted(out, key=repr) == sorted([(None, "a"), (3, "b"), (4, "c"), (4, "d"), (5, "d "), (6, None)], key=repr)
+    assert drop_copies(docs_of(spark, [])).collect() == []
+
+
 def test_exact_dedup_without_ids_and_rows(spark):
     got = exact_dedup(docs_of(spark, [(None, "a"), (None, "a"), (None, "b"), (3, "b")])).collect()
     assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in got) == [(-1, -1, 2, True), (-1, -1, 2, True), (-1, 3, 2, False), (3, 3, 2, True)]
