@@ -3,13 +3,16 @@
 1. Each text becomes the set of its word shingles; one permutation (the shingle's 64-bit number)
    is cut into bins by its top bits, a bin's least number is its component, and an empty bin borrows
    from a bin drawn by a 2-universal sequence of its own (optimal densification).
-2. Documents with equal sets collapse to one representative, so groups of copies cost one row.
+2. Documents with equal sets collapse to one representative, so groups of copies cost one row; a digest finds them and the
+   full sets confirm them.
 3. Bands of ``ROWS`` bins are buckets. A bucket's members get one edge each, to the member that has
    most company (a star), never all pairs. Edges are confirmed on the full sets.
 4. A star can miss a link between two of its rays. Where a bucket's members are still in different
    components, another star is drawn around a component that has had none, and what is left is compared
    by sketches (the least ``SKETCH`` numbers of a set; most sets whole), in blocks of bounded size inside a
-   task: no pair becomes a row unless its sketches allow a link. So no link of a shared bucket is lost.
+   task: no pair becomes a row unless its sketches allow a link. Where over ``BLOCK`` members are left, they meet only
+   where they share one of their rarest shingles: of two linked sets each has another's among its floor((1 - similarity) of
+   its size) + 1 rarest ones. So no link of a shared bucket is lost.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, slices, utf8, written
+from .common import remove, slices, spread_join, utf8, written
 from .components import components
 from .words import byte_words, exact_shingles, mix, shingle_rows, words
 
@@ -105,26 +108,34 @@ def _small(df: DataFrame, count: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union, written.
 
-    texts: (id, text), read for documents in pairs only. A pair's two texts meet in one row, so no task
-    gathers the members of a star.
+    texts: (id, text), read for documents in pairs only. A pair's two texts meet in one row, and the pairs of an id in
+    many of them are dealt over many tasks, so no task gathers the members of a star.
     """
     spark = pairs.sparkSession
     pairs, at = written(pairs, "pairs")
+    total = pairs.count()
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     # few ids: their texts are fetched by a broadcast of the ids, so that the other texts are not shuffled
-    used, beside = written(texts.join(_small(ids, 2 * pairs.count()), "id", "left_semi"), "texts")
+    used, beside = written(texts.join(_small(ids, 2 * total), "id", "left_semi"), "texts")
     left = used.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = used.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    often = lambda x: pairs.groupBy(x).agg(F.count(F.lit(1)).alias("rows"))
+    both = spread_join(pairs, right, ["b"], often("b"))
+    both = spread_join(both, left, ["a"], often("a"), total=total, by=["a", "b"]).select("a", "b", "ta", "tb")
 
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, set()
+        last, mine, known = None, [], set()
         for part in parts:
             a, b, keep = part.column(0).to_pylist(), part.column(1).to_pylist(), []
             for i in range(part.num_rows):
                 if a[i] != last:  # the join leaves rows in runs of a
-                    last, known = a[i], exact_shingles(byte_words(part.column(2)[i].as_py()), k)
-                other = exact_shingles(byte_words(part.column(3)[i].as_py()), k)
+                    last, mine, known = a[i], byte_words(part.column(2)[i].as_py()), None
+                words_b = byte_words(part.column(3)[i].as_py())
+                if mine == words_b:  # equal sequences have equal sets
+                    keep.append(len(mine) > 0)
+                    continue
+                known = exact_shingles(mine, k) if known is None else known
+                other = exact_shingles(words_b, k)
                 shared = len(known & other)
                 keep.append(100 * shared >= percent * (len(known) + len(other) - shared) and shared > 0)
             mask = np.array(keep, bool)
@@ -200,6 +211,52 @@ def possible(sketch: list[np.ndarray], home: np.ndarray, component: np.ndarray,
     return out
 
 
+def _all_numbers(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, number): a set's distinct shingle numbers."""
+    for part in parts:
+        raw, at = utf8(part.column(1))
+        for low, high in slices(at):
+            number, first = words(raw[at[low] : at[high]], at[low : high + 1] - at[low])
+            made, begin = shingle_rows(number, first, k)
+            found = [np.unique(made[begin[i] : begin[i + 1]]) for i in range(high - low)]
+            row = pa.array(np.repeat(np.arange(low, high), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(np.concatenate(found).view(np.int64))], ["id", "number"])
+
+
+def refined(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """pending, with each bucket of over BLOCK members cut into one for each shingle that is among the rarest of some of them.
+
+    Shingles are ordered by how many of the bucket's members have them. Sets of sizes n and m that are linked share at least
+    percent % of each, so the first that they share in this order is among the first n - ceil(percent % of n) + 1 of the one
+    and likewise of the other. Only these become rows, and what one member has alone is dropped; so what
+    makes members alike without linking them (a frame that all pages of a site share) brings no two together.
+    """
+    counts = pending.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    large, _ = written(counts.where(F.col("rows") > BLOCK), "large")
+    if large.isEmpty():
+        return pending
+    few = _small(large, large.count())
+    inside, _ = written(pending.join(few, "bucket").select("bucket", "id", "n", "component").distinct(), "large")
+    ids = inside.select("id").distinct()
+    numbers = texts.join(_small(ids, ids.count()), "id", "left_semi").mapInArrow(lambda parts: _all_numbers(parts, k), "id long, number long").dropDuplicates(["id", "number"])
+    held, _ = written(inside.join(numbers, "id").select("bucket", "id", "n", "component", "number"), "numbers")
+    often, _ = written(held.groupBy("bucket", "number").agg(F.count(F.lit(1)).alias("rows")), "often")
+    ranked = spread_join(held, often, ["bucket", "number"], often)
+    own = Window.partitionBy("bucket", "id", "n")  # one set, which a task has anyway
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("rows", "number"))).withColumn("have", F.count(F.lit(1)).over(own))
+    # an id with several texts has other numbers than one set's: then all count
+    rare = ranked.where(((F.col("place") <= prefix + 1) | (F.col("have") != F.col("n"))) & (F.col("rows") > 1))
+    cut, _ = written(rare.select(F.xxhash64("bucket", "number").alias("bucket"), "id", "n", "component"), "rare")
+    # near copies share many rare shingles: of buckets with the same members one is enough
+    who = F.xxhash64("id", "n")
+    members = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(who).alias("x"), F.sum(F.col("id").cast("decimal(38,0)")).alias("y"), F.bit_xor(F.xxhash64(who, "n")).alias("z"))
+    kept = members.groupBy("rows", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket")
+    cut = spread_join(cut, kept, ["bucket"], members.select("bucket", "rows"), "left_semi")
+    rest = pending.join(few.select("bucket"), "bucket", "left_anti").select("bucket", "id", "n", "component")
+    return written(rest.unionByName(cut), "refined")[0]
+
+
 def left_over(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that sketches allow among the members (bucket, id, n, component) of buckets of several components.
 
@@ -207,14 +264,15 @@ def left_over(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     being at home in its own and a guest in the next; groups of more than BLOCK rows are cut into blocks that
     meet two by two.
     """
+    pending = refined(pending, texts, k, percent)
     ids = pending.select("id").distinct()
     few = _small(ids, ids.count())
-    sketch, _ = written(texts.join(few, "id", "left_semi").mapInArrow(lambda parts: _least(parts, k), "id long, sketch binary").dropDuplicates(["id"]), "sketches")
+    sketch, _ = written(texts.join(few, "id", "left_semi").mapInArrow(lambda parts: _least(parts, k), "id long, sketch binary").distinct(), "sketches")
     step = float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else 1e-9
     own = F.floor(F.log("n") / F.lit(step))
-    rows = pending.select("bucket", "id", "component", F.explode(F.array(F.struct(own.alias("class"), F.lit(True).alias("home")), F.struct((own + 1).alias("class"), F.lit(False).alias("home")))).alias("c")).select("bucket", "id", "component", "c.class", "c.home")
-    size = rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("home").alias("any")).where("x < y and any").select("bucket", "class", "rows")
-    cut = rows.join(size, ["bucket", "class"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows, _ = written(pending.select("bucket", "id", "component", F.explode(F.array(F.struct(own.alias("class"), F.lit(True).alias("home")), F.struct((own + 1).alias("class"), F.lit(False).alias("home")))).alias("c")).select("bucket", "id", "component", "c.class", "c.home"), "classes")
+    size, _ = written(rows.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("home").alias("any")).where("x < y and any").select("bucket", "class", "rows"), "sizes")
+    cut = spread_join(rows, size, ["bucket", "class"], size).withColumn("blocks", F.ceil(F.col("rows") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cut = cut.join(sketch, "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["bucket", "class", "p", "q"]
     cut = cut.select("bucket", "class", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "component", "home", "block", "sketch")
@@ -258,32 +316,38 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig, _ = written(sketches(docs, k), "signatures")
     known = sig.where("n_shingles > 0 and doc_id is not null")
-    same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    groups = same.where("copies > 1")
-    copies = known.select("doc_id", "hi", "lo").join(groups, ["hi", "lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    copies, _ = written(copies, "copies")
-    others = known.join(groups.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "rep"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("doc_id") != F.col("rep")), "left_anti")
-    buckets = others.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
+    same = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    same, beside = written(same, "same")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
+    copies = spread_join(known.select("doc_id", "hi", "lo"), same.select("hi", "lo", "rep"), ["hi", "lo"], same.select("hi", "lo", "rows")).where("doc_id <> rep")
+    alike, at = written(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), "hi", "lo").distinct(), "alike")
+    copies = confirmed(alike.select("a", "b").distinct(), texts, k, 100)
+    # the representatives go on; with them, should a digest ever have erred, what the full sets do not confirm
+    done, _ = written(alike.join(copies, ["a", "b"], "left_semi").select(F.col("b").alias("doc_id"), "hi", "lo"), "done")
+    for path in (beside, at):
+        remove(spark, path)
+    others = known.join(_small(done, done.count()), ["doc_id", "hi", "lo"], "left_anti")
+    buckets = others.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared, _ = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("company")).where("company > 1"), "shared")
+    company = shared.select("bucket", F.col("company").alias("rows"))
     # only what shares a bucket goes on; weight: how many it meets in all its buckets
-    first, old = written(buckets.join(shared, "bucket"), "members")
+    first, old = written(spread_join(buckets, shared, ["bucket"], company, total=BANDS * sig.count()), "members")
     weight = first.groupBy("id").agg(F.sum("company").alias("weight"))
     members, _ = written(first.select("id", "n", "bucket").join(weight, "id"), "members")
     remove(spark, old)
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null")
     edges, had = [copies], None
     label = members.withColumn("component", F.col("id"))
     for turn in range(STARS):
         # the member with most company, of a component that has not had the bucket's centre
-        free = label if had is None else label.join(had, ["bucket", "component"], "left_anti")
+        free = label if had is None else spread_join(label, had, ["bucket", "component"], how="left_anti")
         best = free.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"), "component", "n")).alias("best"))
         best, _ = written(best.select("bucket", (-F.col("best.low")).alias("centre"), F.col("best.component").alias("of"), F.col("best.n").alias("m")), "centres")
-        star = label.join(best, "bucket").where("component <> of").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
+        star = spread_join(label, best, ["bucket"], company).where("component <> of").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select(F.greatest("centre", "id").alias("a"), F.least("centre", "id").alias("b")).distinct()
         edges.append(confirmed(star, texts, k, percent))
         part = components(reduce(DataFrame.unionByName, edges[1:]))
         label = members.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = label.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        label, _ = written(label.join(mixed.select("bucket"), "bucket", "left_semi"), "pending")
+        label, _ = written(spread_join(label, mixed.select("bucket"), ["bucket"], company, "left_semi", label.count()), "pending")
         # components of the centres as they are now
         at = label.join(best.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_semi").select("bucket", "component").distinct()
         had = at

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.llm import components as C
 from lexloom.llm import minhash
 from lexloom.llm.common import shared_dir
 from lexloom.llm.components import components
@@ -234,6 +235,40 @@ def test_near_duplicates_are_the_brute_force(spark, monkeypatch, k, percent, sta
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == near_brute(rows, k, percent)
 
 
+def test_a_frame_that_links_nothing_brings_few_together(spark):
+    """Eight hundred texts of 70 % equal words, so that buckets are large and hardly any are linked: what is left over meets by rare
+    shingles only. Among them near copies, and one text of 150,000 words with its near copy."""
+    r = random.Random(21)
+    w = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    frame = w(105)
+    texts = [" ".join(frame[:50] + w(22) + frame[50:] + w(23)) for _ in range(800)]
+    for i in range(0, 100, 5):
+        a = texts[i].split()
+        a[r.randrange(len(a))] = "changed"
+        texts.append(" ".join(a))
+    long = w(150_000)
+    texts += [" ".join(long), " ".join([*long[:-100], *w(100)])]
+    rows = list(enumerate(texts, 1))
+    docs = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    pending = spark.createDataFrame([(b, i, len(exact_shingles(byte_words(t), 3)), i) for b in (1, 2) for i, t in rows], "bucket long, id long, n long, component long")
+    cut = minhash.refined(pending, docs, 3, 85)
+    groups = [x.n for x in cut.groupBy("bucket").agg(F.countDistinct("id").alias("n")).collect()]
+    met = sum(n * (n - 1) // 2 for n in groups)
+    assert max(groups) < 50 and met < 20_000  # of 2 * 337,000 pairs
+    want = {tuple(sorted((i, j), reverse=True)) for i, j in [(1 + i, 801 + i // 5) for i in range(0, 100, 5)] + [(len(texts) - 1, len(texts))]}
+    assert want <= {(x.a, x.b) for x in minhash.left_over(pending, docs, 3, 85).collect()}
+
+
+def test_a_large_group_of_copies_and_a_chain(spark):
+    """Two thousand equal sets (some by other words in between, which make no new shingle), and links through a hub."""
+    r = random.Random(5)
+    chain = chained(r, 20, 100, 1)
+    rows = [(i, "a b c a b c a b c" if i % 2 else "a b c a b c") for i in range(10, 2010)] + [(5000 + i, t) for i, t in enumerate(chain)] + [(5100, "a b c a b")]
+    got = near_duplicates(docs_of(spark, rows), 3, 85).collect()
+    assert {x.component_id for x in got if x.doc_id < 5000} == {10} and {x.component_id for x in got if 5000 <= x.doc_id < 5100} == {5000}
+    assert [x.n_shingles for x in got if x.doc_id in (10, 11, 5100)] == [3, 3, 3] and [x.component_id for x in got if x.doc_id == 5100] == [10]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(docs_of(spark, [])).collect() == []
     rows = [(1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v"), (3, "q r s t u v"), (4, None)]
@@ -250,3 +285,12 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(301)} | {500: 500, 501: 500}
     assert components(edges.where("a < 0")).collect() == []
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_hubs(spark, monkeypatch, few):
+    """A hub of 3,000 nodes, one of its nodes a hub itself, dealt over tasks or broadcast."""
+    monkeypatch.setattr(C, "BROADCAST_EDGES", few)
+    edges = spark.range(1, 3001).select(F.lit(5000).alias("a"), F.col("id").alias("b")).unionByName(spark.range(7000, 8000).select(F.lit(2500).alias("a"), F.col("id").alias("b"))).unionByName(spark.range(9000, 9100).select("id", (F.col("id") + 100).alias("b")).withColumnRenamed("id", "a"))
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {i: 1 for i in [*range(1, 3001), 5000, *range(7000, 8000)]} | {i: i for i in range(9000, 9100)} | {i + 100: i for i in range(9000, 9100)}
