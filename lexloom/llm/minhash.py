@@ -10,9 +10,8 @@
 4. A star can miss a link between two of its rays. Where a bucket's members are still in different
    components, another star is drawn around a component that has had none, and what is left is compared
    by sketches (the least ``SKETCH`` numbers of a set; most sets whole), in blocks of bounded size inside a
-   task: no pair becomes a row unless its sketches allow a link. Where over ``BLOCK`` members are left, they meet only
-   where they share one of their rarest shingles: of two linked sets each has another's among its floor((1 - similarity) of
-   its size) + 1 rarest ones. So no link of a shared bucket is lost.
+   task: no pair becomes a row unless its sketches allow a link. Where over ``LARGE`` members are left, they meet only
+   where they share one of the first shingles of both, common ones coming last. So no link of a shared bucket is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, slices, spread_join, utf8, written
@@ -37,6 +36,10 @@ BROADCAST_ROWS = 200_000
 #: Stars drawn before what is left is compared by sketches.
 STARS = 2
 SKETCH, BLOCK = 512, 512
+#: Members of a bucket up to which blocks meet two by two, so that a sketch is copied LARGE / BLOCK times at most.
+LARGE = 16 * BLOCK
+#: Shingles that count as common, at most (8 bytes each, broadcast).
+MOST_COMMON = 2_000_000
 
 _BIN_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
 _DONORS = (mix(np.arange(BINS * 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, 64)
@@ -211,49 +214,66 @@ def possible(sketch: list[np.ndarray], home: np.ndarray, component: np.ndarray,
     return out
 
 
-def _all_numbers(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, number): a set's distinct shingle numbers."""
+def _sets(parts: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows (id, text, ...) with each text's distinct shingle numbers, sorted."""
     for part in parts:
         raw, at = utf8(part.column(1))
         for low, high in slices(at):
             number, first = words(raw[at[low] : at[high]], at[low : high + 1] - at[low])
             made, begin = shingle_rows(number, first, k)
-            found = [np.unique(made[begin[i] : begin[i + 1]]) for i in range(high - low)]
-            row = pa.array(np.repeat(np.arange(low, high), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), pa.array(np.concatenate(found).view(np.int64))], ["id", "number"])
+            yield part.slice(low, high - low), [np.unique(made[begin[i] : begin[i + 1]]) for i in range(high - low)]
+
+
+def prefix_of(found: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent % of n) + 1 numbers of a sorted set, those that are not in ``common`` (sorted) before the others."""
+    place = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
+    late = common[place] == found if len(common) else np.zeros(len(found), bool)
+    ordered = np.concatenate([found[~late], found[late]])
+    return ordered[: len(found) - (percent * len(found) + 99) // 100 + 1]
 
 
 def refined(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """pending, with each bucket of over BLOCK members cut into one for each shingle that is among the rarest of some of them.
+    """pending, where the members of buckets of over LARGE meet by rare shingles instead.
 
-    Shingles are ordered by how many of the bucket's members have them. Sets of sizes n and m that are linked share at least
-    percent % of each, so the first that they share in this order is among the first n - ceil(percent % of n) + 1 of the one
-    and likewise of the other. Only these become rows, and what one member has alone is dropped; so what
-    makes members alike without linking them (a frame that all pages of a site share) brings no two together.
+    In any one order of all shingles, the first that two linked sets of n and m share is among the first n - ceil(percent % of n) + 1
+    of the one, and likewise of the other, as each shares percent % at least. The order has those that many
+    members have last, so what makes members alike without linking them (a frame that all pages of a site share) brings
+    no two together. A set's shingles become rows once, to be counted, and the first of them once more, however many
+    buckets it is in.
     """
-    counts = pending.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    large, _ = written(counts.where(F.col("rows") > BLOCK), "large")
+    spark = pending.sparkSession
+    large, _ = written(pending.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > LARGE), "large")
     if large.isEmpty():
         return pending
-    few = _small(large, large.count())
-    inside, _ = written(pending.join(few, "bucket").select("bucket", "id", "n", "component").distinct(), "large")
-    ids = inside.select("id").distinct()
-    numbers = texts.join(_small(ids, ids.count()), "id", "left_semi").mapInArrow(lambda parts: _all_numbers(parts, k), "id long, number long").dropDuplicates(["id", "number"])
-    held, _ = written(inside.join(numbers, "id").select("bucket", "id", "n", "component", "number"), "numbers")
-    often, _ = written(held.groupBy("bucket", "number").agg(F.count(F.lit(1)).alias("rows")), "often")
-    ranked = spread_join(held, often, ["bucket", "number"], often)
-    own = Window.partitionBy("bucket", "id", "n")  # one set, which a task has anyway
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("rows", "number"))).withColumn("have", F.count(F.lit(1)).over(own))
-    # an id with several texts has other numbers than one set's: then all count
-    rare = ranked.where(((F.col("place") <= prefix + 1) | (F.col("have") != F.col("n"))) & (F.col("rows") > 1))
-    cut, _ = written(rare.select(F.xxhash64("bucket", "number").alias("bucket"), "id", "n", "component"), "rare")
+    # at most one in LARGE of pending's rows
+    few = _small(large.select("bucket"), large.count())
+    inside, _ = written(spread_join(pending, large.select("bucket"), ["bucket"], large, "left_semi").select("id", "component").distinct(), "large")
+    own, _ = written(texts.join(_small(inside, inside.count()), "id").select("id", "text", "component"), "texts")
+
+    def all_numbers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(parts, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["number"])
+
+    often, _ = written(own.mapInArrow(all_numbers, "number long").groupBy("number").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK), "often")
+    least = BLOCK
+    while often.where(F.col("rows") > least).count() > MOST_COMMON:  # any order will do; with fewer common ones more sets meet
+        least *= 2
+    common = spark.sparkContext.broadcast(np.sort(np.array([r.number for r in often.where(F.col("rows") > least).toLocalIterator()], np.int64).view(np.uint64)))
+
+    def rare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(parts, k):
+            firsts = [prefix_of(x, common.value, percent) for x in sets]
+            many = [len(x) for x in firsts]
+            row = pa.array(np.repeat(np.arange(len(sets)), many))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(row), pa.array(np.repeat([len(x) for x in sets], many)), part.column(2).take(row)], ["bucket", "id", "n", "component"])
+
+    cut, _ = written(own.mapInArrow(rare, "bucket long, id long, n long, component long"), "rare")
     # near copies share many rare shingles: of buckets with the same members one is enough
     who = F.xxhash64("id", "n")
-    members = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(who).alias("x"), F.sum(F.col("id").cast("decimal(38,0)")).alias("y"), F.bit_xor(F.xxhash64(who, "n")).alias("z"))
-    kept = members.groupBy("rows", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket")
-    cut = spread_join(cut, kept, ["bucket"], members.select("bucket", "rows"), "left_semi")
-    rest = pending.join(few.select("bucket"), "bucket", "left_anti").select("bucket", "id", "n", "component")
+    members = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(who).alias("x"), F.sum(F.col("id").cast("decimal(38,0)")).alias("y"), F.bit_xor(F.xxhash64(who, "n")).alias("z")).where("rows > 1")
+    kept, _ = written(members.groupBy("rows", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "rows"), "kept")
+    cut = spread_join(cut, kept.select("bucket"), ["bucket"], kept, "left_semi")
+    rest = spread_join(pending, few, ["bucket"], large, "left_anti").select("bucket", "id", "n", "component")
     return written(rest.unionByName(cut), "refined")[0]
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,12 +231,13 @@ def test_near_duplicates_are_the_brute_force(spark, monkeypatch, k, percent, sta
     monkeypatch.setattr(minhash, "STARS", stars)
     monkeypatch.setattr(minhash, "SKETCH", sketch)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LARGE", 16 * block if block > 4 else 6)
     rows = near_rows()
     got = near_duplicates(docs_of(spark, rows), k, percent)
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == near_brute(rows, k, percent)
 
 
-def test_a_frame_that_links_nothing_brings_few_together(spark):
+def test_a_frame_that_links_nothing_brings_few_together(spark, monkeypatch):
     """Eight hundred texts of 70 % equal words, so that buckets are large and hardly any are linked: what is left over meets by rare
     shingles only. Among them near copies, and one text of 150,000 words with its near copy."""
     r = random.Random(21)
@@ -250,7 +252,9 @@ def test_a_frame_that_links_nothing_brings_few_together(spark):
     texts += [" ".join(long), " ".join([*long[:-100], *w(100)])]
     rows = list(enumerate(texts, 1))
     docs = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    assert not np.array_equal(minhash.prefix_of(np.arange(100, dtype=np.uint64), np.arange(50, dtype=np.uint64), 85), np.arange(16))
     pending = spark.createDataFrame([(b, i, len(exact_shingles(byte_words(t), 3)), i) for b in (1, 2) for i, t in rows], "bucket long, id long, n long, component long")
+    monkeypatch.setattr(minhash, "LARGE", 512)
     cut = minhash.refined(pending, docs, 3, 85)
     groups = [x.n for x in cut.groupBy("bucket").agg(F.countDistinct("id").alias("n")).collect()]
     met = sum(n * (n - 1) // 2 for n in groups)
