@@ -11,55 +11,116 @@ from ..functions.vectors import dot, unit
 from .graph import label_propagation, settled
 
 
-def average_linkage(distance: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> np.ndarray:
-    """Labels in input order: the closest two clusters merge while they are closer than ``threshold``.
+#: Vectors of a tile: the graph of close pairs is found tile by tile.
+TILE = 2048
 
-    Distances of merged clusters follow by size-weighted means (Lance-Williams); weights are the sizes that rows begin
-    with. Ties go to the first pair.
+
+def average_linkage(vectors: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> np.ndarray:
+    """Labels in input order of unit vectors: the closest two clusters merge while their mean cosine distance is below
+    ``threshold``; weights are the sizes that rows begin with.
+
+    The mean distance of two clusters of unit vectors is 1 less the product of their mean vectors, so no matrix of
+    distances is held: memory grows with the rows. Merges are found along chains of nearest neighbours, which gives the same
+    clusters as taking the closest pair each time, as the mean distance of a merged cluster to a third lies between
+    those of its parts. Ties go to the first row.
     """
-    n = len(distance)
-    d = distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size, parent = np.ones(n) if weights is None else weights.astype(float), list(range(n))
+    n = len(vectors)
+    size = np.ones(n) if weights is None else weights.astype(float)
+    mean = vectors.astype(float).copy()
+    parent = np.arange(n)
     alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        parent = [i if p == j else p for p in parent]
-    seen: dict[int, int] = {}
-    return np.array([seen.setdefault(p, len(seen)) for p in parent], int)
-
-
-def cluster(vectors: DataFrame, threshold: float, most: int = 20_000) -> DataFrame:
+    chain: list[int] = []
+    start = 0
+    while True:
+        if not chain:
+            while start < n and not alive[start]:
+                start += 1
+            if start == n:
+                break
+            chain.append(start)
+        top = chain[-1]
+        d = 1 - mean @ mean[top]
+        d[~alive] = np.inf
+        d[top] = np.inf
+        near = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            near = chain[-2]
+        if not d[near] < threshold:  # nothing that is close to it is left, nor will be: it is done, with all it may yet be compared with
+            alive[top] = False
+            chain.pop()
+            continue
+        if len(chain) > 1 and near == chain[-2]:
+            i, j = min(top, near), max(top, near)
+            mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            alive[j], parent[j] = False, i
+            del chain[-2:]
+        else:
+            chain.append(near)
+    for i in range(n):  # parents come first
+        parent[i] = parent[parent[i]]
+    return np.unique(parent, return_inverse=True)[1]
+
+
+def close_forest(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows of the tiles a and b (the same object for one tile) that connect all that pairs with a product over
+    ``least`` connect: fewer than there are rows."""
+    near = a @ b.T > least
+    if a is b:
+        np.fill_diagonal(near, False)
+    out, seen_a, seen_b = [], np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for root in range(len(a)):
+        if seen_a[root] or not near[root].any():
+            continue
+        seen_a[root] = True
+        queue = [(root, 0)]
+        while queue:
+            i, side = queue.pop()
+            row, seen = (near[i], seen_b) if side == 0 else (near[:, i], seen_a)
+            for j in np.flatnonzero(row & ~seen).tolist():
+                seen[j] = True
+                out.append((i, j) if side == 0 else (j, i))
+                queue.append((j, 1 - side))
+    return out
+
+
+def close_pairs(heads: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """(g, a, b): pairs of (id, u) at a distance below ``threshold``, enough of them to connect what all connect.
+
+    Rows are dealt to tiles, and two tiles meet in one task as matrices; a row goes to as many tasks as there are tiles.
+    """
+    tiles = max(1, -(-heads.count() // tile))
+    own = heads.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))).select(F.least("t", "other").alias("p"), F.greatest("t", "other").alias("q"), "t", "id", "u")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q = rows["p"].iloc[0], rows["q"].iloc[0]
+        halves = [(h["id"].to_numpy(), np.stack(h["u"].to_numpy())) for h in (rows[rows["t"] == p], rows[rows["t"] == q]) if len(h)]
+        if p != q and len(halves) < 2:
+            return pd.DataFrame({"g": [], "a": [], "b": []})
+        (ia, a), (ib, b) = halves[0], halves[-1]
+        pairs = close_forest(a, a if p == q else b, 1 - threshold)
+        return pd.DataFrame({"g": 0, "a": [ia[i] for i, _ in pairs], "b": [ib[j] for _, j in pairs]})
+
+    return dealt.groupBy("p", "q").applyInPandas(meet, "g int, a long, b long")
+
+
+def cluster(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(id, label) of vectors (id, vector) by average linkage at a cosine distance below ``threshold``.
 
     Clusters never span components of the graph of pairs closer than the threshold (a mean below it needs a pair
-    below it), so each component is clustered by itself. A row without a vector, or with a zero one, is alone. A
-    component of more than ``most`` rows is an error: its distances would not fit a task.
-    label is the least id of the cluster.
+    below it), so each component is clustered by itself, in memory that grows with its vectors. A row without a
+    vector, or with a zero one, is alone. label is the least id of the cluster.
     """
     u = vectors.select("id", unit(F.col("vector")).alias("u"))
     usable = settled(u.where(F.col("u").isNotNull() & (F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x) > 0.5)))
     # equal vectors merge at distance 0 before all others: one row with their number stands for them
     heads = settled(usable.groupBy("u").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
-    pairs = heads.withColumnsRenamed({"id": "a", "u": "ua"}).join(heads.select(F.col("id").alias("b"), F.col("u").alias("ub")), F.col("a") < F.col("b"))
-    close = pairs.where(1 - dot(F.col("ua"), F.col("ub")) < threshold).select(F.lit(0).alias("g"), "a", "b")
-    comp = label_propagation(close, "g").select(F.col("node").alias("id"), "component")
+    comp = label_propagation(close_pairs(heads.select("id", "u"), threshold, tile), "g").select(F.col("node").alias("id"), "component")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a component of {len(rows)} vectors; {most} at most")
         rows = rows.sort_values("id")
-        m = np.stack(rows["u"].to_numpy())
-        label = average_linkage(1 - m @ m.T, threshold, rows["n"].to_numpy())
+        label = average_linkage(np.stack(rows["u"].to_numpy()), threshold, rows["n"].to_numpy())
         ids = rows["id"].to_numpy()
         first = {x: ids[label == x].min() for x in set(label)}
         return pd.DataFrame({"id": ids, "label": [first[x] for x in label]})

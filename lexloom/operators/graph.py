@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..fixed import KNOWN_CONTRASTS
 from ..functions.text import abbreviation_class, split_identifier
 from ..functions.vectors import centroids, dot, unit
+from .skew import HOT_SHARE, LEAST_HOT, spread_join
 
 DAMPING, ITERATIONS, EPSILON = 0.85, 50, 1e-6
 #: Rows of a table that is broadcast, at most; larger ones are shuffled.
@@ -20,6 +21,8 @@ SMALL = 200_000
 
 def checkpoint_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lexloom.local.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.lexloom.local.dir", base)
@@ -38,6 +41,55 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lexloom-step-" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Links:
+    """Weighted edges (source, target, share) along which values flow, many times over.
+
+    Few edges (SMALL at most) are broadcast. More are bucketed and sorted once by source, the edges of a hub by source and
+    piece; then a round shuffles the values and the sums, and never the edges.
+    """
+
+    def __init__(self, edges: DataFrame, small_rows: int = SMALL, bucket_rows: int = 1_000_000):
+        edges = settled(edges.select("source", "target", "share"))
+        count = edges.count()
+        self.spark, self.few, self.name, self.hot = edges.sparkSession, count <= small_rows, None, None
+        if self.few:
+            self.edges = edges
+            return
+        limit = max(LEAST_HOT, count // HOT_SHARE)
+        hubs = edges.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("source", F.ceil(F.col("n") / limit).cast("int").alias("pieces")).collect()
+        self.hot = F.broadcast(self.spark.createDataFrame([tuple(r) for r in hubs], f"source {edges.schema['source'].dataType.simpleString()}, pieces int"))  # fewer than HOT_SHARE rows
+        dealt = edges.join(self.hot, "source", "left").withColumn("piece", F.pmod(F.xxhash64("target"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+        self.buckets = min(32_768, 1 + count // bucket_rows)
+        self.name, self.path = f"lexloom_links_{uuid.uuid4().hex}", f"{checkpoint_dir(self.spark)}/lexloom-links-{uuid.uuid4().hex}"
+        dealt.repartition(self.buckets, "source", "piece").write.option("path", self.path).bucketBy(self.buckets, "source", "piece").sortBy("source", "piece").saveAsTable(self.name)
+        self.edges = self.spark.table(self.name)
+        dropped(edges)
+
+    def flow(self, values: DataFrame) -> DataFrame:
+        """(id, value): what the targets get, each edge carrying its share of its source's value (id, value)."""
+        if self.few:
+            sent = values.select(F.col("id").alias("source"), "value").join(F.broadcast(self.edges), "source")
+        else:
+            dealt = values.select(F.col("id").alias("source"), "value").join(self.hot, "source", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+            sent = self.edges.join(dealt.select("source", "piece", "value").hint("merge"), ["source", "piece"])
+        return sent.groupBy(F.col("target").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("value"))
+
+    def drop(self) -> None:
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def abbreviation_pairs(words: DataFrame, shortest: int = 1) -> DataFrame:
     """(short, long, class) for distinct words (canonical) of which one abbreviates another.
 
@@ -110,32 +162,37 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
     """(id, in_degree, out_degree, pagerank) over nodes (id) and edges (source, target); several edges count several times.
 
     Rank of nodes without a way out is spread evenly. Ends after ``iterations`` or, with ``epsilon``, when no rank
-    moves by as much (asked every ``every`` rounds, when lineage is cut too). Only ranks are shuffled
-    in a round: edges carry their source's share and stay partitioned by it.
+    moves by as much (asked every ``every`` rounds, when lineage is cut too). A round shuffles ranks and sums; many edges
+    stay in buckets by source, few are broadcast.
     """
-    nodes = nodes.select("id").distinct()
+    nodes = settled(nodes.select("id").distinct())
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0).cast("long").alias("in_degree"), F.lit(0).cast("long").alias("out_degree"), F.lit(0.0).alias("pagerank"))
-    live = edges.select("source", "target").join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi")
-    out = live.groupBy("source").agg(F.count(F.lit(1)).alias("out_degree"))
-    into = live.groupBy("target").agg(F.count(F.lit(1)).alias("in_degree"))
-    base = settled(nodes.join(out.withColumnRenamed("source", "id"), "id", "left").join(into.withColumnRenamed("target", "id"), "id", "left").na.fill(0, ["in_degree", "out_degree"]))
-    shares = settled(live.groupBy("source", "target").agg(F.count(F.lit(1)).alias("c")).join(out, "source").select("source", "target", (F.col("c") / F.col("out_degree")).alias("share")))
-    rank = base.select("id", "out_degree", F.lit(1.0 / n).alias("r"))
+    counted = settled(edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("c")))
+    known = lambda df, end: spread_join(df, nodes.withColumnRenamed("id", end), [end], how="left_semi")
+    live = settled(known(settled(known(counted, "source")), "target"))
+    out = settled(live.groupBy("source").agg(F.sum("c").alias("out_degree"), F.count(F.lit(1)).alias("rows")))
+    into = live.groupBy("target").agg(F.sum("c").alias("in_degree"))
+    base = settled(nodes.join(out.select(F.col("source").alias("id"), "out_degree"), "id", "left").join(into.withColumnRenamed("target", "id"), "id", "left").na.fill(0, ["in_degree", "out_degree"]))
+    links = Links(spread_join(live, out.select("source", "out_degree"), ["source"], out.select("source", "rows")).select("source", "target", (F.col("c") / F.col("out_degree")).alias("share")))
+    rank, held = base.select("id", "out_degree", F.lit(1.0 / n).alias("value")), None
     for i in range(1, iterations + 1):
-        sent = shares.join(rank.select(F.col("id").alias("source"), "r"), "source").groupBy("target").agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        lost = rank.where("out_degree = 0").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-        new = base.select("id", "out_degree").join(sent.withColumnRenamed("target", "id"), "id", "left").crossJoin(F.broadcast(lost))
+        lost = rank.where("out_degree = 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("lost"))
+        new = base.select("id", "out_degree").join(links.flow(rank).withColumnRenamed("value", "s"), "id", "left").crossJoin(F.broadcast(lost))  # one row
         value = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)
-        old, rank = rank, new.select("id", "out_degree", value.alias("r"))
+        old, rank = rank, new.select("id", "out_degree", value.alias("value"))
         if i % every == 0 or i == iterations:
             rank = settled(rank)
             if epsilon is not None and i < iterations:
-                moved = rank.alias("x").join(old.alias("y"), "id").agg(F.max(F.abs(F.col("x.r") - F.col("y.r")))).first()[0]
+                moved = rank.alias("x").join(old.alias("y"), "id").agg(F.max(F.abs(F.col("x.value") - F.col("y.value")))).first()[0]
                 if moved is not None and moved < epsilon:
                     break
-    return base.join(rank.select("id", "r"), "id").select("id", "in_degree", "out_degree", F.col("r").alias("pagerank"))
+            if held is not None:
+                dropped(held)
+            held = rank
+    links.drop()
+    return base.join(rank.select("id", "value"), "id").select("id", "in_degree", "out_degree", F.col("value").alias("pagerank"))
 
 
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
@@ -183,7 +240,10 @@ def topological_order(nodes: list, edges: list[tuple]) -> list:
 
 
 def label_propagation(edges: DataFrame, group: str) -> DataFrame:
-    """(group, node, component) of undirected edges (group, a, b) within groups: the least node reachable."""
+    """(group, node, component) of undirected edges (group, a, b) within groups: the least node reachable.
+
+    A round takes the least label of a node's neighbours and then that label's own label, so long chains take few rounds.
+    """
     both = settled(edges.select(group, F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(group, F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
     label = both.select(group, F.col("x").alias("node"), F.col("x").alias("component")).distinct()
     while True:
@@ -191,7 +251,8 @@ def label_propagation(edges: DataFrame, group: str) -> DataFrame:
         new = settled(label.join(near.withColumnRenamed("x", "node"), [group, "node"]).select(group, "node", "component", F.least("component", "m").alias("m")))
         if new.where("component <> m").isEmpty():
             return label
-        label = new.select(group, "node", F.col("m").alias("component"))
+        of = new.select(group, F.col("node").alias("m"), F.col("m").alias("further"))
+        label = settled(new.join(of, [group, "m"]).select(group, "node", F.least("m", "further").alias("component")))
 
 
 def subconcepts(occ: DataFrame, parameters: DataFrame, vectors: DataFrame | None = None, least_uses: int = 6, least_names: int = 4, edge: float = 0.25) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier, stop_words
+from .graph import settled
+from .skew import spread_join
 
 #: As the analysis itself has them, and as the whole pipeline does.
 MIN_FREQUENCY, LIBRARY_THRESHOLD, PIPELINE_THRESHOLD = 2, 0.1, 0.3
@@ -77,11 +81,15 @@ def doc_context(kept: DataFrame, doc_texts: DataFrame, most: int = 5, broadcast_
     return ranked.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "head"))), lambda s: s["head"]).alias("doc_context"))
 
 
-def co_occurrence(tokens: DataFrame, kept: DataFrame, by_file: bool = True) -> DataFrame:
+#: Concepts of a scope up to which its pairs are formed in its row; those of larger scopes are joined.
+SCOPE_CONCEPTS = 300
+
+
+def co_occurrence(tokens: DataFrame, kept: DataFrame, by_file: bool = False, in_row: int = SCOPE_CONCEPTS) -> DataFrame:
     """(a, b, weight), a < b: 1 for each identifier row that has both concepts, half for each scope that has both.
 
-    Identifier rows pair their own distinct subtokens in the row, without a join. Scopes are told apart by
-    file unless ``by_file`` is off.
+    Identifier rows pair their own distinct subtokens in the row, without a join. Scopes of the same name are one, whatever
+    file they are in, unless ``by_file`` is on.
     """
     known = kept.select(F.col("canonical").alias("subtoken"))
     rows = tokens.select("name", "file", "line", "entity_type", "scope", "subtoken").join(known, "subtoken")
@@ -90,7 +98,15 @@ def co_occurrence(tokens: DataFrame, kept: DataFrame, by_file: bool = True) -> D
     times = F.size(F.filter(split_identifier("name"), lambda x: x == F.col("subtoken")))
     uses = rows.groupBy("name", "subtoken").agg((F.count(F.lit(1)) / F.first(times)).alias("c")).groupBy("name").agg(F.min("c").alias("uses"))
     pairs = lambda t: F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    by_name = per_name.join(uses, "name").select(F.explode(pairs(F.col("t"))).alias("p"), F.col("uses").cast("double").alias("w"))
+    by_name = per_name.join(uses, "name").select(F.explode(pairs(F.col("t"))).alias("p"), F.col("uses").cast("double").alias("w")).select("p.a", "p.b", "w")
     scope = ["file", "scope"] if by_file else ["scope"]
-    by_scope = rows.where("scope is not null").groupBy(*scope).agg(F.array_sort(F.collect_set("subtoken")).alias("t")).where(F.size("t") > 1).select(F.explode(pairs(F.col("t"))).alias("p"), F.lit(0.5).alias("w"))
-    return by_name.unionByName(by_scope).groupBy("p.a", "p.b").agg(F.sum("w").alias("weight"))
+    inside = settled(rows.where("scope is not null").select(*scope, "subtoken").distinct())
+    sizes = settled(inside.groupBy(*scope).agg(F.count(F.lit(1)).alias("rows")))
+    few = inside.join(sizes.where((F.col("rows") > 1) & (F.col("rows") <= in_row)).drop("rows"), scope, "left_semi")
+    by_scope = few.groupBy(*scope).agg(F.array_sort(F.collect_set("subtoken")).alias("t")).select(F.explode(pairs(F.col("t"))).alias("p"), F.lit(0.5).alias("w")).select("p.a", "p.b", "w")
+    parts = [by_name, by_scope]
+    large = settled(inside.join(sizes.where(F.col("rows") > in_row).drop("rows"), scope, "left_semi"))
+    if not large.isEmpty():
+        both = spread_join(large.withColumnRenamed("subtoken", "a"), large.withColumnRenamed("subtoken", "b"), scope, sizes)
+        parts.append(both.where("a < b").select("a", "b", F.lit(0.5).alias("w")))
+    return reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("w").alias("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..functions.text import abbreviation_class, concept_match
+from ..functions.text import concept_match
 from ..functions.vectors import centroids
 from ..operators import clusters as K
 from ..operators import graph as G
@@ -46,58 +46,35 @@ def partner_graph(spark, d):
     return partner_edges(spark, d)
 
 
-FREQUENT = r"""
-words AS (SELECT t AS canonical, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS t FROM documents) GROUP BY t ORDER BY n DESC, t LIMIT 300)"""
-
-
 def all_words(spark, d):
-    """The words of documents, a row for each use."""
-    return A.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("canonical"))
-
-
-def frequent_words(spark, d, top: int = 300):
-    words = all_words(spark, d)
-    return words.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "canonical").limit(top)
+    """The distinct words of documents."""
+    return A.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("canonical")).distinct()
 
 
-_SUBSEQ = "regexp_matches({b}, '^' || array_to_string(list_transform(string_split({a}, ''), lambda c: '[^' || c || ']*' || c), ''))"
-
-
-@query(
-    "abbreviation_edges",
-    f"""WITH {FREQUENT} SELECT a.canonical AS source, b.canonical AS target, 'AbbreviationOf' AS kind, 1.0::double AS weight FROM words a JOIN words b
-    ON length(a.canonical) >= 3 AND length(a.canonical) < length(b.canonical) AND (starts_with(b.canonical, a.canonical)
-      OR (a.canonical[1] = b.canonical[1] AND 3 * length(a.canonical) >= length(b.canonical) AND {_SUBSEQ.format(a="a.canonical", b="b.canonical")}))""",
-)
+@query("abbreviation_edges")
 def abbreviation_edges(spark, d):
-    return G.abbreviation_edges(frequent_words(spark, d))
+    """Of all distinct words; all pairs of them are too many for SQL, so tests hold this against brute force."""
+    return G.abbreviation_edges(G.settled(all_words(spark, d)))
 
 
-@query(
-    "find_abbreviation",
-    f"""WITH {FREQUENT}, p AS (SELECT a.canonical AS short, b.canonical AS long, CASE WHEN starts_with(b.canonical, a.canonical) THEN 0
-      WHEN length(a.canonical) >= 2 AND a.canonical[1] = b.canonical[1] AND 3 * length(a.canonical) >= length(b.canonical) AND {_SUBSEQ.format(a="a.canonical", b="b.canonical")} THEN 1 END AS c
-    FROM words a JOIN words b ON length(a.canonical) < length(b.canonical))
-    SELECT short, long AS expansion, c AS class FROM (SELECT *, row_number() OVER (PARTITION BY short ORDER BY c, length(long), long) AS rn FROM p WHERE c IS NOT NULL) WHERE rn = 1""",
-)
+@query("find_abbreviation")
 def find_abbreviation(spark, d):
-    w = frequent_words(spark, d).select("canonical", F.substring("canonical", 1, 1).alias("c"))
-    w = G.settled(w)
-    a, b = w.select(F.col("canonical").alias("short"), "c"), w.select(F.col("canonical").alias("long"), F.col("c").alias("c2"))
-    p = a.join(b, (F.col("c") == F.col("c2")) & (F.length("short") < F.length("long"))).withColumn("class", abbreviation_class(F.col("short"), F.col("long"))).where("class is not null")
-    return p.withColumn("rn", F.row_number().over(Window.partitionBy("short").orderBy("class", F.length("long"), "long"))).where("rn = 1").select("short", F.col("long").alias("expansion"), "class")
-
+    """The best expansion of all distinct words; likewise without SQL."""
+    return G.best_expansion(G.settled(all_words(spark, d)))
 
-@query("all_abbreviation_edges")
-def all_abbreviation_edges(spark, d):
-    """abbreviation_edges of all distinct words; its SQL has the 300 most frequent ones only."""
-    return G.abbreviation_edges(G.settled(all_words(spark, d).distinct()))
 
-
-@query("find_all_abbreviations")
-def find_all_abbreviations(spark, d):
-    """find_abbreviation over all distinct words; its SQL has the 300 most frequent ones only."""
-    return G.best_expansion(G.settled(all_words(spark, d).distinct()))
+@query(
+    "concept_abbreviations",
+    f"""WITH {A.VOCABULARY}, longer AS (SELECT canonical FROM concepts UNION SELECT canonical || 'ing' FROM concepts UNION SELECT canonical[1] || canonical[3:] FROM concepts WHERE length(canonical) > 3)
+    SELECT a.canonical AS source, b.canonical AS target, 'AbbreviationOf' AS kind, 1.0::double AS weight FROM longer a JOIN longer b
+    ON length(a.canonical) >= 3 AND length(a.canonical) < length(b.canonical) AND (starts_with(b.canonical, a.canonical) OR (a.canonical[1] = b.canonical[1] AND 3 * length(a.canonical) >= length(b.canonical)
+      AND regexp_matches(b.canonical, '^' || array_to_string(list_transform(string_split(a.canonical, ''), lambda c: '[^' || c || ']*' || c), ''))))""",
+)
+def concept_abbreviations(spark, d):
+    """The same edges over all concepts, their participles, and each without its second letter."""
+    c = G.settled(V.concepts(A.identifiers(spark, d)).select("canonical"))
+    shorter = c.where(F.length("canonical") > 3).select(F.concat(F.substring("canonical", 1, 1), F.substring("canonical", 3, 1000)).alias("canonical"))
+    return G.abbreviation_edges(c.unionByName(c.select(F.concat("canonical", F.lit("ing")).alias("canonical"))).unionByName(shorter).distinct())
 
 
 @query(

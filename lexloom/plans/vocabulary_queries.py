@@ -132,7 +132,7 @@ def merge_conventions(spark, d):
 _CO = """
 pairs AS (
   SELECT a.t AS a, b.t AS b, 1.0::double AS w FROM (SELECT DISTINCT name, file, line, t FROM tok) a JOIN (SELECT DISTINCT name, file, line, t FROM tok) b ON a.name = b.name AND a.file = b.file AND a.line = b.line AND a.t < b.t
-  UNION ALL SELECT a.t, b.t, 0.5 FROM (SELECT DISTINCT file, scope, t FROM tok) a JOIN (SELECT DISTINCT file, scope, t FROM tok) b ON a.file = b.file AND a.scope = b.scope AND a.t < b.t
+  UNION ALL SELECT a.t, b.t, 0.5 FROM (SELECT DISTINCT scope, t FROM tok) a JOIN (SELECT DISTINCT scope, t FROM tok) b ON a.scope = b.scope AND a.t < b.t
 ), co AS (SELECT a, b, sum(w) AS weight FROM pairs WHERE a IN (SELECT canonical FROM concepts) AND b IN (SELECT canonical FROM concepts) GROUP BY ALL)"""
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +155,85 @@ def test_trace_on_an_ontology(spark):
     with pytest.raises(KeyError):
         tools.call("nothing", o)
     assert o.edges.where(F.col("kind") == "Uses").count() == 2
+
+
+def greedy_linkage(d, threshold):
+    """The closest two clusters merge, by mean distances, one pair at a time."""
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > 1:
+        m, i, j = min((np.mean([d[x, y] for x in a for y in b]), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if not m < threshold:
+            break
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_average_linkage_is_the_greedy_one(spark, tile):
+    r = np.random.default_rng(5)
+    heads = r.normal(size=(6, 8))
+    v = np.concatenate([h + r.normal(size=(9, 8)) * s for h, s in zip(heads, (0.1, 0.3, 0.5, 0.7, 0.9, 1.2), strict=True)])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    for threshold in (0.1, 0.35, 0.62, 0.9):
+        got = {}
+        for row in K.cluster(df, threshold, tile).collect():
+            got.setdefault(row.label, set()).add(row.id)
+        assert {frozenset(x) for x in got.values()} == greedy_linkage(1 - u @ u.T, threshold) and all(k == min(x) for k, x in got.items())
+
+
+def test_average_linkage_of_more_than_twenty_thousand():
+    """One component of 21,000 vectors, in memory that grows with its rows; no distances are held."""
+    r = np.random.default_rng(6)
+    heads = np.eye(16)[r.integers(0, 16, 21_000)] + 0.5
+    v = heads + r.normal(size=heads.shape) * 0.01
+    label = K.average_linkage(v / np.linalg.norm(v, axis=1)[:, None], 0.05)
+    assert len(set(label)) == 16 == len({(int(a), int(b)) for a, b in zip(label, heads.argmax(1), strict=True)})
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_values_flow_along_links(spark, few):
+    """A hub of 3,000 edges and a target of as many; edges in buckets by source and piece are not shuffled again."""
+    rows = [(0, i, 1 / 3000) for i in range(1, 3001)] + [(i, 0, 0.5) for i in range(1, 3001)] + [(i, i + 1, 0.5) for i in range(1, 3000)]
+    links = G.Links(spark.createDataFrame(rows, "source long, target long, share double"), small_rows=few, bucket_rows=4000)
+    values = G.settled(spark.range(3001).select("id", (F.col("id") % 7 + 1.0).alias("value")))
+    want = {}
+    for a, b, s in rows:
+        want[b] = want.get(b, 0) + (a % 7 + 1) * s
+    flow = links.flow(values)
+    assert {r.id: round(r.value, 9) for r in flow.collect()} == {k: round(x, 9) for k, x in want.items()}
+    if not few:
+        before = flow._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1]
+        assert before.count("Exchange hashpartitioning(source") == 1 and "Bucketed: true" in before
+    links.drop()
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_pagerank_is_the_recursion(spark, monkeypatch, few):
+    monkeypatch.setattr(G.Links.__init__, "__defaults__", (few, 1000))
+    r = random.Random(3)
+    nodes = list(range(400))
+    edges = [(r.randrange(400), min(r.randrange(400), r.randrange(400))) for _ in range(2500)] + [(7, i) for i in range(300)] + [(500, 3), (3, 500), (1, 2), (1, 2)]
+    live = [(a, b) for a, b in edges if a < 400 and b < 400]
+    out = {n: sum(a == n for a, _ in live) for n in nodes}
+    p = dict.fromkeys(nodes, 1 / 400)
+    for _ in range(40):
+        lost = sum(p[n] for n in nodes if not out[n])
+        new = dict.fromkeys(nodes, 0.15 / 400 + 0.85 * lost / 400)
+        for a, b in live:
+            new[b] += 0.85 * p[a] / out[a]
+        p = new
+    got = {x.id: x for x in G.pagerank(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "source long, target long"), iterations=40, epsilon=None).collect()}
+    assert all(got[n].pagerank == pytest.approx(p[n], abs=1e-12) and got[n].out_degree == out[n] and got[n].in_degree == sum(b == n for _, b in live) for n in nodes)
+
+
+@pytest.mark.parametrize("in_row", [300, 1])
+def test_scopes_of_one_name_are_one(spark, in_row):
+    """Two files have a scope of the same name: what one has half of and the other half meets once; a concept pair in both counts once."""
+    ids = [("a_x", "v", "f", 1, "run"), ("b_y", "v", "g", 2, "run"), ("a_z", "v", "g", 3, "run"), ("a_b", "v", "f", 4, None), ("c", "v", "f", 5, "go"), ("a", "v", "g", 6, "go")]
+    t = V.subtokens(spark.createDataFrame(ids, "name string, entity_type string, file string, line long, scope string"))
+    kept = spark.createDataFrame([(x,) for x in "abcxy"], "canonical string")
+    got = {(r.a, r.b): r.weight for r in V.co_occurrence(t, kept, in_row=in_row).collect()}
+    assert got == {("a", "x"): 1.5, ("b", "y"): 1.5, ("a", "b"): 1.5, ("a", "y"): 0.5, ("b", "x"): 0.5, ("x", "y"): 0.5, ("a", "c"): 0.5}
+    apart = {(r.a, r.b): r.weight for r in V.co_occurrence(t, kept, by_file=True, in_row=in_row).collect()}
+    assert apart == {("a", "x"): 1.5, ("b", "y"): 1.5, ("a", "b"): 1.5, ("a", "y"): 0.5}
