@@ -158,7 +158,7 @@ def similar_edges(vectors: DataFrame, ident: str = "id", label: str = "label", v
     return edges, centroids(vectors, label, vector)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, epsilon: float | None = EPSILON, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, epsilon: float | None = EPSILON, every: int = 3) -> DataFrame:
     """(id, in_degree, out_degree, pagerank) over nodes (id) and edges (source, target); several edges count several times.
 
     Rank of nodes without a way out is spread evenly. Ends after ``iterations`` or, with ``epsilon``, when no rank
