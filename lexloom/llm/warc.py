@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, remove, spread_join, written
 
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -249,8 +249,10 @@ def page_records(pages: DataFrame, min_bytes: int = 0, version: int = 2, date: s
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     # equal payloads: equal lengths and SHA-256; only groups of several go on
     keyed, _ = written(base.select("page_id", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("sha"), F.xxhash64("html").alias("loc")), "payloads")
-    groups = keyed.where(F.col("n") >= min_bytes).groupBy("n", "sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    revisits, _ = written(keyed.join(groups, ["n", "sha"]).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "loc", "first").distinct(), "revisits")
+    groups = keyed.where(F.col("n") >= min_bytes).groupBy("n", "sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    groups, beside = written(groups, "payloads")
+    revisits, _ = written(spread_join(keyed, groups.drop("rows"), ["n", "sha"], groups.select("n", "sha", "rows")).where("first is not null and not (page_id <=> first)").select(F.col("page_id").alias("p"), "loc", "first").distinct(), "revisits")
+    remove(pages.sparkSession, beside)
     few = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     joined = base.withColumn("own", F.xxhash64("html")).join(few, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("own") == F.col("loc")), "left").select("page_id", "url", "html", "first")
     opening = arc_header(version, "pages.arc", date)
