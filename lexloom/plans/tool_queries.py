@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import conventions as C
 from ..operators import embedding, entities, graph
 from ..operators import vocabulary as V
-from ..registry import query
+from ..registry import ORACLES, query
 from . import ontology as O
 from . import tools
 from .vocabulary_queries import _CONVENTIONS
@@ -219,10 +219,12 @@ def inconsistencies(spark, d):
 
 @query(
     "ontology_diff",
-    r"""WITH w AS (SELECT doc_id % 2 AS side, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS t, source FROM documents), s AS (SELECT side, t, count(*) AS n, list_sort(list(DISTINCT source)) AS names FROM w GROUP BY side, t HAVING count(*) >= 2),
-    j AS (SELECT coalesce(b.t, h.t) AS canonical, b.n AS bn, h.n AS hn, coalesce(b.names, []) AS b, coalesce(h.names, []) AS h FROM (SELECT * FROM s WHERE side = 0) b FULL JOIN (SELECT * FROM s WHERE side = 1) h ON b.t = h.t)
-    SELECT * FROM (SELECT CASE WHEN bn IS NULL THEN 'added' WHEN hn IS NULL THEN 'removed' ELSE 'changed' END AS change, canonical, coalesce(hn, 0) - coalesce(bn, 0) AS delta,
-      list_sort(list_filter(h, lambda x: NOT list_contains(b, x))) AS added, list_sort(list_filter(b, lambda x: NOT list_contains(h, x))) AS removed FROM j)
+    r"""WITH w AS (SELECT doc_id % 2 AS side, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS t, source FROM documents),
+    u AS MATERIALIZED (SELECT side, t, source, count(*) AS n FROM w GROUP BY ALL), s AS MATERIALIZED (SELECT side, t, sum(n)::bigint AS n FROM u GROUP BY side, t HAVING sum(n) >= 2),
+    v AS (SELECT t, source, bool_or(side = 0) AS b, bool_or(side = 1) AS h FROM u SEMI JOIN s USING (side, t) GROUP BY t, source),
+    d AS (SELECT t, coalesce(list_sort(list(source) FILTER (WHERE h AND NOT b)), []) AS added, coalesce(list_sort(list(source) FILTER (WHERE b AND NOT h)), []) AS removed FROM v GROUP BY t),
+    j AS (SELECT t, max(n) FILTER (WHERE side = 0) AS bn, max(n) FILTER (WHERE side = 1) AS hn FROM s GROUP BY t)
+    SELECT * FROM (SELECT CASE WHEN bn IS NULL THEN 'added' WHEN hn IS NULL THEN 'removed' ELSE 'changed' END AS change, t AS canonical, coalesce(hn, 0) - coalesce(bn, 0) AS delta, added, removed FROM j JOIN d USING (t))
     WHERE change <> 'changed' OR delta <> 0 OR len(added) > 0 OR len(removed) > 0""",
 )
 def ontology_diff(spark, d):
@@ -268,21 +270,36 @@ def scalars(spark, d):
     )
 
 
-@query("common_directory", f"WITH {SIGS} SELECT return_type, 'src' AS directory FROM sigs GROUP BY return_type HAVING count(DISTINCT string_split(file, '/')[2]) > 1")
+@query(
+    "common_directory",
+    f"""WITH {SIGS}, dirs AS (SELECT param, file, list_slice(string_split(file, '/'), 1, -2) AS d FROM (SELECT DISTINCT param, file FROM (SELECT param, file FROM sigs WHERE line % 3 > 0 UNION ALL SELECT param, 'src/Brand1/' || param || '/' || line || '.py' FROM sigs WHERE line % 3 = 0 AND param > 'nb_g'))),
+    ends AS (SELECT param, min(d) AS a, max(d) AS b FROM dirs GROUP BY param)
+    SELECT param, array_to_string(list_slice(a, 1, coalesce(list_position(list_transform(generate_series(1, len(a)), lambda i: a[i] = b[i]), false), len(a) + 1) - 1), '/') AS directory FROM ends""",
+)
 def common_directory(spark, d):
-    return signatures(spark, d).groupBy("return_type").agg(T.common_directory(F.collect_set("file")).alias("directory"))
+    """Of the files of each parameter, some of them in a folder of its own: paths of different depths that part at different places."""
+    s = signatures(spark, d).select(F.col("params")[0]["name"].alias("param"), "file", "line")
+    deep = s.where("line % 3 = 0 and param > 'nb_g'").select("param", F.concat(F.lit("src/Brand1/"), "param", F.lit("/"), F.col("line").cast("string"), F.lit(".py")).alias("file"))
+    files = s.where("line % 3 > 0").select("param", "file").unionByName(deep)
+    return files.groupBy("param").agg(T.common_directory(F.collect_set("file")).alias("directory"))
 
 
-@query("embedding_plan", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0")
+@query("embedding_plan", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def embedding_plan(spark, d):
+    """What is still to embed, where some of what is known has no counterpart."""
     v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return embedding.plan(v, v.where("id % 3 <> 0"))
+    return embedding.plan(v, A.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")))
 
 
-@query("embedding_merge", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -1 ELSE label END AS label FROM embeddings")
+@query(
+    "embedding_merge",
+    """WITH new AS (SELECT vec_id + 100 AS id, (label + 1)::bigint AS label FROM embeddings WHERE label = 0)
+    SELECT id, label FROM new UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM new)""",
+)
 def embedding_merge(spark, d):
-    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return embedding.merge(v, v.where("id % 3 = 0").withColumn("label", F.lit(-1)))
+    """Known vectors and newer ones, which win where both have an id and come along where only they have it."""
+    v = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"))
+    return embedding.merge(v, v.where("label = 0").select((F.col("id") + 100).alias("id"), (F.col("label") + 1).alias("label")))
 
 
 @query(
@@ -318,7 +335,32 @@ def _tool(tool: str, /, **arguments):
     def run(spark, d):
         return tools.TOOLS[tool](ontology(spark, d), **arguments)
 
-    query(f"tool_{tool}")(run)
+    query(f"tool_{tool}", TOOL_SQL.get(tool))(run)
+
+
+def _built_sql(sql: str) -> str:
+    """The SQL of a query over the vocabulary, at the threshold that building an ontology has."""
+    return sql.replace("score >= 0.1", "score >= 0.3")
+
+
+_FLOWS = "f AS (SELECT callee AS source, coalesce(caller_scope, '<module>') AS target, return_type AS type, 'return' AS kind FROM calls JOIN sigs ON name = callee UNION ALL SELECT coalesce(caller_scope, '<module>'), callee, ptype, 'parameter' FROM calls JOIN sigs ON name = callee)"
+#: What needs no vectors and no ranks; tests hold the other tools against brute force.
+TOOL_SQL = {
+    "list_conventions": ORACLES["list_conventions"],
+    "type_flows": ORACLES["type_flows"],
+    "trace_type": f"WITH {SIGS}, {CALLS}, {_FLOWS} SELECT * FROM f WHERE contains(lower(type), 'promo')",
+    "check_naming": _built_sql(ORACLES["check_naming"]).replace(f"SELECT DISTINCT name AS input FROM ids UNION SELECT unnest({list(_EXTRA)!r})", "SELECT 'old_bolt' AS input"),
+    "describe_file": f"WITH {SIGS}, {CLASSES} SELECT * FROM (SELECT file, line, 'class' AS kind, name, NULL AS parent FROM classes UNION ALL SELECT file, line, 'function', name, NULL FROM sigs) WHERE ends_with(file, 'classes/bolt.py')",
+    "concept_map": _built_sql(ORACLES["module_map"]).replace(f"round(avg(len(tags)), {R})", "avg(len(tags))"),
+    "list_concepts": _built_sql(f"""WITH {A.VOCABULARY}, {_OCC}, {ENTITIES}, tagged_with AS (SELECT canonical, count(*) AS entities FROM (SELECT unnest(tags) AS canonical FROM entities) GROUP BY canonical)
+    SELECT canonical, count(*) AS occurrences, list_sort(list(DISTINCT entity_type)) AS entity_types, coalesce(any_value(entities), 0) AS entities FROM occ LEFT JOIN tagged_with USING (canonical) GROUP BY canonical ORDER BY occurrences DESC, canonical LIMIT 200"""),
+    "describe_symbol": _built_sql(f"""WITH {A.VOCABULARY}, {ENTITIES}, {CALLS}, e AS (SELECT *, name || '|' || file || '|' || line AS id FROM entities), own AS (SELECT * FROM e WHERE lower(name) = 'bolt' ORDER BY kind = 'function', kind = 'method', file, line LIMIT 1),
+    edges AS (SELECT m.id AS source, c.id AS target, 'MemberOf' AS kind FROM e m JOIN e c ON m.class = c.name AND c.kind = 'class' AND m.kind = 'method' UNION ALL SELECT a.id, b.id, 'InheritsFrom' FROM classes c JOIN e a ON a.name = c.name JOIN e b ON b.name = c.base WHERE a.id <> b.id
+      UNION ALL SELECT a.id, b.id, 'Uses' FROM calls JOIN e a ON a.name = caller_scope JOIN e b ON b.name = callee WHERE a.id <> b.id)
+    SELECT 'kind' AS section, name, kind AS detail FROM own UNION ALL SELECT 'class', name, array_to_string(methods, ', ') FROM (SELECT * FROM classes WHERE lower(name) = 'bolt' ORDER BY file, line LIMIT 1)
+    UNION ALL SELECT DISTINCT 'caller', coalesce(caller_scope, '<module>'), file FROM calls WHERE lower(callee) = 'bolt' OR ends_with(lower(callee), '.bolt') UNION ALL SELECT DISTINCT 'callee', callee, file FROM calls WHERE lower(caller_scope) = 'bolt' OR ends_with(lower(caller_scope), '.bolt')
+    UNION ALL SELECT 'concept', unnest(tags), NULL FROM own UNION ALL SELECT DISTINCT 'related', o.name, k FROM (SELECT source AS id, target AS other, kind AS k FROM edges UNION ALL SELECT target, source, kind FROM edges) x JOIN own USING (id) JOIN e o ON o.id = other"""),
+}
 
 
 for _name, _arguments in {

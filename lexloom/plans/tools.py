@@ -454,19 +454,23 @@ def find_similar_logic(o: Ontology, name: str, top_k: int = 5) -> DataFrame:
 @tool
 def compact_context(o: Ontology, scope: str, max_tokens: int = 500) -> DataFrame:
     """One row (text, tokens): what is known of an entity, file or concept, cut section by section to a budget."""
-    sections = [("Structure", 2), ("Behavior", 3), ("Domain", 4), ("Related", 5)]
-    d = describe_symbol(o, scope).limit(200).collect()
-    if not d:
-        d = describe_file(o, scope).select(F.col("kind").alias("section"), "name", F.col("parent").alias("detail")).limit(200).collect()
-    if not d:
-        d = query_concept(o, scope).select("section", "name", "detail").limit(200).collect()
+    titles = ["Structure", "Behavior", "Domain", "Related"]
+    d = describe_symbol(o, scope)
+    if d.isEmpty():
+        d = describe_file(o, scope).select(F.col("kind").alias("section"), "name", F.col("parent").alias("detail"))
+    if d.isEmpty():
+        d = query_concept(o, scope).select("section", "name", "detail")
     of = {"kind": 0, "signature": 0, "class": 0, "method": 0, "function": 0, "caller": 1, "callee": 1, "occurrence": 1, "concept": 2, "convention": 2, "variant": 2}
-    lines: list[list[str]] = [[], [], [], []]
-    for r in d:
-        lines[of.get(r.section, 3)].append(f"- {r.section} {r.name}" + (f": {r.detail}" if r.detail else ""))
-    keep = [len(x) for x in lines]
-    render = lambda: "\n".join(f"## {s}\n" + "\n".join(x[:k]) for (s, _), x, k in zip(sections, lines, keep, strict=True) if k)
-    while len(render().encode()) / 4 > max_tokens and any(keep):
+    place = F.coalesce(F.create_map(*[F.lit(x) for p in of.items() for x in p])[F.col("section")], F.lit(3))
+    d = graph.settled(d.withColumn("place", place))
+    counted = {r.place: r.n for r in d.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # all rows count; of those of a section, no more are fetched than have room in the budget
+    room = max_tokens * 4 // len("- x y\n") + 1
+    line = lambda r: f"- {r.section} {r.name}" + (f": {r.detail}" if r.detail else "")
+    lines = [[line(r) for r in d.where(F.col("place") == i).orderBy("section", "name", "detail").limit(room).collect()] if i in counted else [] for i in range(len(titles))]
+    keep = [counted.get(i, 0) for i in range(len(titles))]
+    render = lambda: "\n".join(f"## {s}\n" + "\n".join(x[:k]) for s, x, k in zip(titles, lines, keep, strict=True) if k)
+    while any(keep) and (any(k > len(x) for k, x in zip(keep, lines, strict=True)) or len(render().encode()) / 4 > max_tokens):
         last = max(i for i, k in enumerate(keep) if k)
         keep[last] //= 2
     text = render()
@@ -504,16 +508,33 @@ def pack_rows(concepts: DataFrame, occurrences: DataFrame, conventions: DataFram
 
 @tool
 def generate_ontology_md(o: Ontology) -> DataFrame:
-    """One row (markdown): top 20 concepts, entities and co-occurrences; conventions and abbreviations, the first 1,000 of each."""
-    table = lambda head, rows: "\n".join([f"## {head}", "", *rows, ""])
-    concepts = [f"- {r.canonical} ({r.occurrences})" for r in list_concepts(o, 20).collect()]
-    conv = [f"- `{r.value}` {r.kind.lower()}: {r.semantic_role} ({r.frequency})" for r in list_conventions(o).limit(1000).collect()]
-    short = [f"- {r.source}: {r.target}" for r in o.edges.where("kind = 'AbbreviationOf'").orderBy("source", "target").limit(1000).collect()]
-    ents = o.centrality.join(o.entities.select("id", "name", "kind", "semantic_role"), "id").orderBy(F.desc("pagerank"), "name").limit(20)
-    top = [f"- {r.name} ({r.kind}) {r.semantic_role}".rstrip() for r in ents.collect()]
-    co = [f"- {r.source} + {r.target} ({r.weight:g})" for r in o.edges.where("kind = 'CoOccurs'").orderBy(F.desc("weight"), "source", "target").limit(20).collect()]
-    text = "# Ontology\n\n" + "\n".join(table(h, r) for h, r in (("Concepts", concepts), ("Conventions", conv), ("Abbreviations", short), ("Entities", top), ("Co-occurrence", co)))
-    return o.concepts.sparkSession.createDataFrame([(text,)], "markdown string")
+    """(markdown), a row a line: the top 20 concepts, entities and co-occurrences, and all conventions and abbreviations.
+
+    Lines are sorted by Spark, so no section is gathered; write_markdown() puts them into a file.
+    """
+    spark = o.concepts.sparkSession
+    none, text = F.lit(""), lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
+    top = o.centrality.join(o.entities.select("id", "name", "kind", "semantic_role"), "id").orderBy(F.desc("pagerank"), "name").limit(20)
+    co = o.edges.where("kind = 'CoOccurs'").orderBy(F.desc("weight"), "source", "target").limit(20)
+    # (section, number that goes first if larger, texts that go first if lesser, line)
+    parts = [
+        list_concepts(o, 20).select(F.lit(0).alias("section"), F.col("occurrences").cast("double").alias("big"), F.col("canonical").alias("a"), none.alias("b"), text("- ", F.col("canonical"), " (", F.col("occurrences"), ")").alias("markdown")),
+        o.conventions.select(F.lit(1), F.col("frequency").cast("double"), "kind", "value", text("- `", F.col("value"), "` ", F.lower("kind"), ": ", F.col("semantic_role"), " (", F.col("frequency"), ")")),
+        o.edges.where("kind = 'AbbreviationOf'").select(F.lit(2), F.lit(0.0), "source", "target", text("- ", F.col("source"), ": ", F.col("target"))),
+        top.select(F.lit(3), "pagerank", "name", none, F.rtrim(text("- ", F.col("name"), " (", F.col("kind"), ") ", F.coalesce("semantic_role", none)))),
+        co.select(F.lit(4), "weight", "source", "target", text("- ", F.col("source"), " + ", F.col("target"), " (", F.regexp_replace(F.col("weight").cast("string"), r"\.0$", ""), ")")),
+    ]
+    heads = [(i, float("inf"), "", str(j), x) for i, t in enumerate(("Concepts", "Conventions", "Abbreviations", "Entities", "Co-occurrence")) for j, x in enumerate((*(("# Ontology", "") if not i else ("",)), f"## {t}", ""))]
+    out = spark.createDataFrame(heads, "section int, big double, a string, b string, markdown string")
+    for p in parts:
+        out = out.union(p)
+    return out.orderBy("section", F.desc("big"), "a", "b", "markdown").select("markdown")
+
+
+def write_markdown(o: Ontology, path: str) -> None:
+    """The lines of generate_ontology_md as one file; they pass the driver one partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(r.markdown + "\n" for r in generate_ontology_md(o).toLocalIterator())
 
 
 @tool

@@ -1,7 +1,7 @@
 """The index store: relations as Parquet under a version folder, with a manifest of the files they come from.
 
-A version is written whole and then named by a pointer table, so a reader sees the old or the new one and a lost
-writer leaves no half. Relations that have a language are partitioned by it, so one language is read alone.
+A version is written whole and then named by a new, numbered pointer table; no pointer is ever overwritten, and a reader takes
+the highest that is complete. So it sees the old or the new version, and a writer lost at any time leaves the old one. Relations that have a language are partitioned by it, so one language is read alone.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 FORMAT = 1
 
@@ -38,26 +37,53 @@ def stale_languages(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def save(spark: SparkSession, path: str, relations: dict[str, DataFrame]) -> str:
-    """Write a version of the relations and point to it; its name."""
+    """Write a version of the relations and point to it; its name. A ``manifest`` (file, modified) among them is what load() checks."""
     version = uuid.uuid4().hex
+    number = max(_pointers(spark, path), default=0) + 1
     for name, df in relations.items():
         w = df.write.mode("errorifexists")
         if "language" in df.columns:
             w = w.partitionBy("language")
         w.parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version, FORMAT, ",".join(sorted(relations)))], "version string, format int, relations string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    spark.createDataFrame([(version, FORMAT, ",".join(sorted(relations)))], "version string, format int, relations string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/pointers/{number:012d}")
     return version
 
 
-def load(spark: SparkSession, path: str, language: str | None = None) -> dict[str, DataFrame] | None:
-    """The current version's relations; None where there is none or it has another format."""
-    try:
-        at = spark.read.parquet(f"{path}/current").first()
-    except AnalysisException:
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the pointers that were written to their end."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = lambda f: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+    return [int(f.getPath().getName()) for f in fs.listStatus(folder) if done(f)]
+
+
+def load(spark: SparkSession, path: str, language: str | None = None, files: DataFrame | None = None, languages: set[str] | None = None) -> dict[str, DataFrame] | None:
+    """The current version's relations; None where there is none or it has another format.
+
+    With ``files`` (file, modified), None too where a file of the stored manifest is missing or was modified since, and with
+    ``languages`` where the stored ones are others.
+    """
+    numbers = _pointers(spark, path)
+    if not numbers:
         return None
+    at = spark.read.parquet(f"{path}/pointers/{max(numbers):012d}").first()
     if at is None or at.format != FORMAT:
         return None
-    out = {name: spark.read.parquet(f"{path}/{at.version}/{name}") for name in at.relations.split(",")}
+    names = at.relations.split(",")
+    if files is not None or languages is not None:
+        if "manifest" not in names:
+            return None
+        stored = spark.read.parquet(f"{path}/{at.version}/manifest").select("file", "modified")
+        if files is not None and not changes(stored, manifest(files)).where("change <> 'added'").isEmpty():
+            return None
+        if languages is not None:
+            from .scan import language_of
+
+            if {r.language for r in stored.select(language_of(F.col("file")).alias("language")).where("language is not null").distinct().collect()} != languages:
+                return None
+    out = {name: spark.read.parquet(f"{path}/{at.version}/{name}") for name in names}
     return {k: v.where(F.col("language") == language) if language and "language" in v.columns else v for k, v in out.items()}
 
 

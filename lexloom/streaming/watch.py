@@ -30,20 +30,33 @@ def latest(batch: DataFrame) -> DataFrame:
     return batch.groupBy("file").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "file"]), "modified").alias("v")).select("file", "v.*")
 
 
-def apply_batch(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Parse the files of a micro-batch and write the next version of the index."""
+def present_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file) of the files there are now under ``root``; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("file"))
+
+
+def apply_batch(spark: SparkSession, path: str, batch: DataFrame, present: DataFrame | None = None) -> None:
+    """Parse the files of a micro-batch and write the next version of the index. With ``present`` (file), rows of files
+    that are gone go too; the new version is written whole."""
     new = parse(latest(batch).select("file", "language", "content")).persist()
     try:
         fresh = {k: relation(new, k) for k in RELATIONS}
         old = store.load(spark, path)
         changed = new.select("file")
-        store.save(spark, path, fresh if old is None else {k: store.upsert(old[k], v, changed) for k, v in fresh.items()})
+        now = fresh if old is None else {k: store.upsert(old[k], v, changed) for k, v in fresh.items()}
+        if present is not None:
+            here = present.select("file").distinct()
+            now = {k: v.join(here, "file", "left_semi").select(*v.columns) for k, v in now.items()}
+        store.save(spark, path, now)
     finally:
         new.unpersist()
 
 
 def watch(spark: SparkSession, root: str, index: str, checkpoint: str, then: Callable[[dict[str, DataFrame]], None] | None = None, interval: str = "2 seconds", once: bool = False) -> StreamingQuery:
-    """Keep an index of ``root`` up to date; ``then`` is called with the relations after each batch."""
+    """Keep an index of ``root`` up to date; ``then`` is called with the relations after each batch.
+
+    A stream of files tells nothing of deleted ones, so each batch also drops the rows of files that are gone by then.
+    """
     source, target = root.rstrip("/"), index.rstrip("/")
     if (target + "/").startswith(source + "/"):
         raise ValueError("the index must lie outside what is watched")
@@ -51,7 +64,7 @@ def watch(spark: SparkSession, root: str, index: str, checkpoint: str, then: Cal
     def step(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        apply_batch(batch.sparkSession, index, batch)
+        apply_batch(batch.sparkSession, index, batch, present_files(batch.sparkSession, root))
         if then is not None:
             then(store.load(batch.sparkSession, index))
 

@@ -98,7 +98,11 @@ def test_scan_and_store(spark, tree, tmp_path):
     store.save(spark, index, {"signatures": sigs, "manifest": m})
     back = store.load(spark, index)
     assert back["signatures"].count() == sigs.count() and store.is_fresh(back["manifest"], m)
+    assert store.load(spark, index, files=files, languages={"python", "typescript"}) is not None and store.load(spark, index, languages={"python"}) is None
+    os.makedirs(f"{index}/pointers/000000000009")  # a writer that was lost before its end
+    assert store.load(spark, index)["signatures"].count() == sigs.count()
     os.utime(f"{tree}/a.py", (1, 1))
+    assert store.load(spark, index, files=scan(spark, tree, ["python", "typescript"])) is None
     now = store.manifest(scan(spark, tree, ["python"]))
     assert {(r.file, r.change) for r in store.changes(back["manifest"], now).collect()} == {("a.py", "modified"), ("e.ts", "removed")}
 
@@ -157,6 +161,10 @@ def test_watch_replaces_changed_files(spark, tree, tmp_path):
     (open(f"{tree}/pkg/f.py", "w")).write("def fresh(): pass\n")
     run()
     assert {"load_data", "warp", "fresh"} <= names()
+    os.remove(f"{tree}/pkg/f.py")
+    (open(f"{tree}/pkg/g.py", "w")).write("def later(): pass\n")
+    run()
+    assert "later" in names() and "fresh" not in names() and "load_data" in names()
     with pytest.raises(ValueError):
         watch(spark, tree, f"{tree}/index", cp)
 
