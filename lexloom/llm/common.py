@@ -15,7 +15,7 @@ from ..operators.skew import spread_join
 __all__ = ["SLICE_BYTES", "new_path", "read_table", "remove", "shared_dir", "slices", "spread_join", "utf8", "written"]
 
 #: Texts are worked on in slices of about so many bytes, to bound a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
