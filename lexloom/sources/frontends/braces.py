@@ -11,9 +11,12 @@ import re
 from ...functions.text import dedent, strip_line_doc
 from ...schemas import RELATIONS
 
-_SKIP = re.compile(r"""(?P<doc>/\*\*.*?\*/|(?:^[ \t]*//[/!][^\n]*\n?)+)|(?P<note>/\*.*?\*/|//[^\n]*)|(?P<text>"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|(?<![\w&])'(?:\\.|[^'\\\n])*')""", re.S | re.M)
+_DROPPED = r"""(?P<doc>/\*\*.*?\*/|(?:^[ \t]*//[/!][^\n]*\n?)+)|(?P<note>/\*.*?\*/|//[^\n]*)|(?P<text>"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`|%s)"""
+#: A quote in Rust begins a character or a lifetime; only the first is a text.
+_SKIP = {True: re.compile(_DROPPED % r"(?<!\w)'(?:\\[^'\n]+|[^'\\\n])'", re.S | re.M), False: re.compile(_DROPPED % r"(?<![\w&])'(?:\\.|[^'\\\n])*'", re.S | re.M)}
 _NAME = r"[A-Za-z_$][\w$]*"
-_GENERIC = r"(?:<[^<>()]*(?:<[^<>]*>[^<>()]*)*>)?"
+_GENERIC = r"\s*"  # generic arguments are blanks by then
+_ANGLE = re.compile(r"(?<=[\w:])<|(?<=[=(,])\s*<(?=\s*[A-Z])|(?<=\basync)\s*<")
 _SCRIPT = re.compile(
     rf"""(?P<import>\bimport\b(?P<what>[^;'"\n]*?)(?:from\s*)?\x00(?P<mod>\d+)\x00)
     |(?:\b(?:abstract\s+)?class\s+(?P<class>{_NAME}){_GENERIC}(?:\s+extends\s+(?P<ext>[\w$.]+){_GENERIC})?(?:\s+implements\s+(?P<impl>[\w$.,\s<>]+?))?\s*(?=\{{))
@@ -29,16 +32,42 @@ _METHOD = re.compile(rf"(?:^|[;{{}}\n])\s*(?:(?:public|private|protected|static|
 _FIELD = re.compile(rf"^\s*(?:(?:public|private|protected|static|readonly)\s+)*(?P<name>{_NAME})[?!]?\s*(?::\s*(?P<type>[\w$.]+)[^=;\n(]*)?(?:=[^=>]|;)", re.M)
 _RUST = re.compile(
     rf"""(?:\bfn\s+(?P<function>{_NAME}){_GENERIC}\s*(?=\())|(?:\bstruct\s+(?P<class>{_NAME}))|(?:\benum\s+(?P<enum>{_NAME}))|(?:\btrait\s+(?P<trait>{_NAME}))
-    |(?:\bimpl{_GENERIC}\s+(?:(?P<of>[\w:]+){_GENERIC}\s+for\s+)?(?P<impl>[\w:]+){_GENERIC}[^{{;]*(?=\{{))
+    |(?:(?m:^)[ \t]*(?:unsafe[ ]+|default[ ]+)*impl\b{_GENERIC}(?:(?P<of>[\w:]+){_GENERIC}\s+for\s+)?(?P<impl>[\w:]+){_GENERIC}[^{{;]*(?=\{{))
     |(?:\b(?:const|static)\s+(?:mut\s+)?(?P<variable>{_NAME})\s*:)|(?:\btype\s+(?P<alias>{_NAME}){_GENERIC}\s*=)|(?:\blet\s+(?:mut\s+)?(?P<let>{_NAME}))
     |(?:\buse\s+(?P<use>[^;]+);)|(?:\bself\.(?P<attr>{_NAME})\s*=(?!=))""",
     re.X,
 )
-_CALL = re.compile(rf"(?<![\w$.])((?:{_NAME}(?:\.|::))*{_NAME})(!?)\s*(?:::<[^<>()]*>)?(?=\()")
-_KEYWORDS = set("if for while switch catch return function typeof match fn new await async else loop super in of let const var class extends struct enum impl trait pub where".split())
+_CALL = re.compile(rf"(?<![\w$.])((?:{_NAME}(?:\.|::))*{_NAME})(!?)\s*(?:::\s+)?(?=\()")
+_KEYWORDS = set("if for while switch catch return function typeof match fn new await async else loop super in of let const var class extends struct enum impl trait pub where Fn FnMut FnOnce".split())
 
 
-def _clean(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
+def _without_generics(code: str) -> str:
+    """The code with generic parameters and arguments as blanks, whatever they hold: bounds, arrows, lifetimes, other ones."""
+    out = list(code)
+    at = 0
+    while m := _ANGLE.search(code, at):
+        first, depth, end = m.end() - 1, 0, None
+        for i in range(first, min(len(code), first + 600)):
+            c = code[i]
+            if c == "<":
+                depth += 1
+            elif c == ">" and code[i - 1] not in "-=":
+                depth -= 1
+                if not depth:
+                    end = i
+                    break
+            elif c in ";{}" or code.startswith(("&&", "||"), i):
+                break
+        at = m.end()
+        if end is not None:
+            for i in range(first, end + 1):
+                if out[i] != "\n":
+                    out[i] = " "
+            at = end + 1
+    return "".join(out)
+
+
+def _clean(text: str, rust: bool) -> tuple[str, list[str], list[tuple[int, str]]]:
     """The text with strings as \\x00number\\x00 and comments as blanks, the strings, and documentation by where it ends."""
     strings: list[str] = []
     docs: list[tuple[int, str]] = []
@@ -52,7 +81,7 @@ def _clean(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
             docs.append((text.count("\n", 0, m.end()), strip_line_doc(raw.strip())))
         return re.sub(r"[^\n]", " ", raw)
 
-    return _SKIP.sub(put, text), strings, docs
+    return _SKIP[rust].sub(put, text), strings, docs
 
 
 def _closing(text: str, at: int) -> int:
@@ -85,7 +114,8 @@ def _params(raw: str) -> list[dict]:
 def parse(text: str, path: str, language: str) -> dict[str, list[dict]]:
     rust = language == "rust"
     out: dict[str, list[dict]] = {k: [] for k in RELATIONS}
-    code, strings, docs = _clean(text)
+    code, strings, docs = _clean(text, rust)
+    flat = _without_generics(code)
     lines = text.split("\n")
     line_of = lambda at: code.count("\n", 0, at) + 1
     doc_at = {line: t for line, t in docs}
@@ -146,7 +176,7 @@ def parse(text: str, path: str, language: str) -> dict[str, list[dict]]:
 
     seen: set[int] = set()
     pending: list[str] = []
-    for m in (_RUST if rust else _SCRIPT).finditer(code):
+    for m in (_RUST if rust else _SCRIPT).finditer(flat):
         g, at = m.groupdict(), m.start()
         seen.add(m.end())
         if rust:
@@ -185,7 +215,7 @@ def parse(text: str, path: str, language: str) -> dict[str, list[dict]]:
             row["attributes"] = list(dict.fromkeys([x["name"] for x in _FIELD.finditer(_top(code[lo + 1 : hi]))] + re.findall(rf"\bthis\.({_NAME})\s*=(?!=)", code[lo:hi])))
             for f in _FIELD.finditer(_top(code[lo + 1 : hi])):
                 ident(f["name"], "Attribute", lo + 1 + f.start("name"), g["class"])
-            for x in _METHOD.finditer(_top(code[lo + 1 : hi])):
+            for x in _METHOD.finditer(_top(flat[lo + 1 : hi])):
                 if x["name"] not in _KEYWORDS:
                     seen.add(lo + 1 + x.end())
                     function(x["name"], lo + 1 + x.start("name"), lo + 1 + x.end(), [])
@@ -204,7 +234,7 @@ def parse(text: str, path: str, language: str) -> dict[str, list[dict]]:
         elif g["attr"]:
             ident(g["attr"], "Attribute", at)
     declared = seen
-    for m in _CALL.finditer(code):
+    for m in _CALL.finditer(flat):
         if m[1].split(".")[0] in _KEYWORDS or m.end() in declared or re.search(r"\b(?:fn|function)\s*\*?\s*$", code[max(0, m.start() - 12) : m.start()]):
             continue
         callee = m[1].split("::")[-1] + m[2] if rust else m[1]

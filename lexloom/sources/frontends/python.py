@@ -150,7 +150,34 @@ class _Reader(ast.NodeVisitor):
         self.out["imports"].append({"source_module": node.module or "", "imported_symbols": [x.name for x in node.names], "alias": None, "file": self.path, "line": node.lineno})
 
 
+#: Statements that are passed over in one file, at most, before what is left is given up.
+MOST_ERRORS = 200
+
+
+def tolerant(text: str) -> ast.Module:
+    """The tree of what can be read: a line that the parser rejects becomes ``pass`` (an opening line one that opens), as long as that
+    helps; where nothing does, what follows the line's top-level statement is left out."""
+    lines = text.split("\n")
+    tried: set[int] = set()
+    for _ in range(MOST_ERRORS):
+        try:
+            return ast.parse("\n".join(lines))
+        except (SyntaxError, ValueError) as e:
+            at = min(max((getattr(e, "lineno", None) or 1) - 1, 0), len(lines) - 1)
+            while at > 0 and (at in tried or not lines[at].strip()):
+                at -= 1
+            if at in tried:
+                break
+            tried.add(at)
+            indent = lines[at][: len(lines[at]) - len(lines[at].lstrip())]
+            lines[at] = indent + ("if 1:" if lines[at].rstrip().endswith(":") else "pass")
+    keep = max((i for i in range(len(lines)) if i <= min(tried, default=0) and lines[i][:1].strip()), default=0)
+    if not keep:
+        raise SyntaxError("nothing of the file can be read")
+    return ast.parse("\n".join(text.split("\n")[:keep]))
+
+
 def parse(text: str, path: str) -> dict[str, list[dict]]:
     reader = _Reader(text, path)
-    reader.read(ast.parse(text))
+    reader.read(tolerant(text))
     return reader.out

@@ -5,7 +5,7 @@ import subprocess
 import pytest
 
 from lexloom.sources import config, store
-from lexloom.sources.frontends import parse, parse_text, relation
+from lexloom.sources.frontends import braces, parse, parse_text, python, relation
 from lexloom.sources.scan import check_root, detect, git_tree, glob_regex, globs, ignored, list_files, scan
 from lexloom.streaming.watch import enrich, watch
 
@@ -107,6 +107,46 @@ def test_scan_and_store(spark, tree, tmp_path):
     assert {(r.file, r.change) for r in store.changes(back["manifest"], now).collect()} == {("a.py", "modified"), ("e.ts", "removed")}
 
 
+def test_rust_shapes_with_lifetimes_and_bounds():
+    text = """
+pub struct Bar<'a, T> { x: &'a T }
+impl<T: Fn(u8) -> u8> Foo<T> for Bar<T> {
+    pub async fn go<'a>(&'a self, q: Vec<Option<u8>>) -> Result<&'a str, Err> where T: Clone { let c = 'x'; helper::<Vec<u8>>(c, '\\'', '"'); call(q) }
+}
+fn plain<F>(f: F) -> impl Fn(u8) -> u8 where F: Fn(&str) -> bool { if a < b && c > d { other(1) } f }
+"""
+    out = braces.parse(text, "a.rs", "rust")
+    sigs = {s["name"]: s for s in out["signatures"]}
+    assert set(sigs) == {"go", "plain"} and sigs["go"]["scope"] == "Bar" and [p["name"] for p in sigs["go"]["params"]] == ["q"] and sigs["go"]["params"][0]["type_annotation"] == "Vec<Option<u8>>"
+    bar = {c["name"]: c for c in out["classes"]}["Bar"]
+    assert bar["bases"] == ["Foo"] and bar["methods"] == ["go"]
+    assert [(c["callee"], c["caller_scope"]) for c in out["call_sites"]] == [("helper", "Bar.go"), ("call", "Bar.go"), ("other", "plain")]
+
+
+def test_generic_arrow_functions():
+    text = """
+const f = async <T,>(a: T): Promise<Map<string, T>> => { use(a); };
+const g = <T extends Record<string, () => void>>(a: T, b: Array<Array<T>>) => a;
+const h: Fn<number> = (x) => x;
+export class Box<T extends (a: number) => string> extends Base<T> { run<U>(u: U): void { call<U>(u); } }
+const less = a < b;
+"""
+    out = braces.parse(text, "a.ts", "typescript")
+    sigs = {s["name"]: s for s in out["signatures"]}
+    assert set(sigs) == {"f", "g", "h", "run"} and [p["name"] for p in sigs["g"]["params"]] == ["a", "b"] and sigs["run"]["scope"] == "Box"
+    assert out["classes"][0]["bases"] == ["Base"] and out["classes"][0]["methods"] == ["run"]
+    assert [c["callee"] for c in out["call_sites"]] == ["use", "call"]
+
+
+def test_python_with_errors_is_read_in_part():
+    text = "import os\n\ndef one(a):\n    print 'old', a\n    return two(a)\n\nclass C:\n    def m(self):\n        exec 'x' in {}\n        if a <> b:\n            call(1)\n\ndef last(b): return b\n"
+    out = python.parse(text, "a.py")
+    assert [s["name"] for s in out["signatures"]] == ["one", "m", "last"] and [c["name"] for c in out["classes"]] == ["C"]
+    assert {c["callee"] for c in out["call_sites"]} == {"two", "call"} and out["imports"][0]["source_module"] == "os"
+    assert [s["name"] for s in python.parse("def good(): pass\n\ndef bad(:\n    \"\"\"never closed\n", "b.py")["signatures"]] == ["good"]
+    assert parse_text("\x00", "c.py", "python")["signatures"] == [] and python.parse("", "d.py")["signatures"] == []
+
+
 def test_detection(spark):
     of = lambda *names: tuple(detect(spark.createDataFrame([(n,) for n in names], "file string")).first())
     assert of() == ("python", 0)
