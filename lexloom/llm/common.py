@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ __all__ = ["SLICE_BYTES", "new_path", "read_table", "remove", "shared_dir", "sli
 
 #: Texts are worked on in slices of about so many bytes, to bound a worker's memory.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch, at most, while a table is written.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +54,18 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, rows go to Python in batches of at most BATCH_ROWS, so that batches of whole texts, of two in a
+    row where pairs are confirmed, stay small on both sides."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -57,7 +73,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with _short_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
