@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 #: A worker keeps the encodings of up to so many words; then it begins anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts with other characters than these take the slower, fully Unicode-aware patterns.
@@ -260,7 +262,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, keep: tupl
             yield pa.RecordBatch.from_arrays(out, names)
 
     more = (", ids array<int>" if with_ids else "") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(rows, RESULT + more)
+    return source.mapInArrow(tidy(rows), RESULT + more)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -273,6 +275,6 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(x.as_py() or []) for x in part.column(1)], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(rows, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(rows), "doc_id long, text string")
 
 

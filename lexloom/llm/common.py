@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.skew import spread_join
 
-__all__ = ["SLICE_BYTES", "new_path", "read_table", "remove", "shared_dir", "slices", "spread_join", "utf8", "written"]
+__all__ = ["SLICE_BYTES", "new_path", "read_table", "remove", "shared_dir", "slices", "spread_join", "tidy", "utf8", "written"]
 
 #: Texts are worked on in slices of about so many bytes, to bound a worker's memory.
 SLICE_BYTES = 1 << 20
@@ -78,6 +79,22 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def tidy(rows):
+    """A function of Arrow batches that gives memory back to the system when a task has run, as idle workers live on beside the
+    JVM of their executor."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(parts)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and where each row begins (one more at the end)."""
     if isinstance(column, pa.ChunkedArray):

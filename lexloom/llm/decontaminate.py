@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, slices, spread_join, utf8, written
+from .common import remove, slices, spread_join, tidy, utf8, written
 from .words import exact_shingles, shingle_rows, words
 
 #: Items whose texts together have at most so many bytes are shipped to the workers.
@@ -193,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     size = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     if size <= shipped_bytes:
         sent = spark.sparkContext.broadcast(Items(sorted({(r.item_id, r.text) for r in items.toLocalIterator()}), k, percent))
-        return docs.mapInArrow(lambda parts: _pairs(parts, sent.value), RESULT)
+        return docs.mapInArrow(tidy(lambda parts: _pairs(parts, sent.value)), RESULT)
     return _joined(docs, items, k, percent)
 
 
@@ -209,7 +209,7 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFram
                 cols = [pa.array(np.full(m, x, t)) for x, t in ((part.column(1)[row].as_py(), np.int64), (n.bit_length(), np.int32), (least_hits(n, percent), np.int64))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sketch.view(np.int64))], ["item", "class", "need", "number"])
 
-    sketch, used = written(texts.select("text", "item").mapInArrow(sketched, "item long, class int, need long, number long"), "sketches")
+    sketch, used = written(texts.select("text", "item").mapInArrow(tidy(sketched), "item long, class int, need long, number long"), "sketches")
     # unsigned order by flipping the top bit; as many rows as sizes have binary digits
     bounds = {r["class"]: np.uint64(r["top"] + (1 << 63)) for r in sketch.groupBy("class").agg(F.max(F.expr("number ^ (-9223372036854775807L - 1)")).alias("top")).collect()}
 
@@ -225,7 +225,7 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([ids.take(at), place.take(at), pa.array(np.full(two.shape[1], c, np.int32)), pa.array(two[1].view(np.int64))], ["doc_id", "place", "class", "number"])
 
     placed = docs.withColumn("place", F.xxhash64("text"))
-    signature, beside = written(placed.mapInArrow(signed, "doc_id long, place long, class int, number long"), "signatures")
+    signature, beside = written(placed.mapInArrow(tidy(signed), "doc_id long, place long, class int, number long"), "signatures")
     hits = spread_join(signature, sketch, ["class", "number"])
     # rows that repeat an id and a text count double here, which only makes more candidates
     pairs = hits.groupBy("doc_id", "place", "item").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("doc_id", "place", "item")
@@ -246,7 +246,7 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFram
                     out.append((part.column(0)[i].as_py(), part.column(1)[i].as_py(), shared, len(exact), shared / len(exact)))
             yield _batch(out)
 
-    found = spread_join(both, texts, ["item"]).select("doc_id", "item", "t", "text").mapInArrow(verify, RESULT)
+    found = spread_join(both, texts, ["item"]).select("doc_id", "item", "t", "text").mapInArrow(tidy(verify), RESULT)
     found, _ = written(found.withColumnRenamed("item_id", "item"), "found")
     names = items.distinct().join(texts, "text").select("item_id", "item")
     return spread_join(found, names, ["item"]).select(*_NAMES)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, spread_join, written
+from .common import new_path, remove, spread_join, tidy, written
 
 SPACES = b" \t\n\r\x0b\f"
 #: Up to so many settled keys (16 bytes each) go to the workers as one sorted array; more are joined.
@@ -156,7 +156,7 @@ def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
             row = pa.array(np.repeat(np.arange(part.num_rows), many))
             yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "place", "hi", "lo"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("place"), "text").mapInArrow(rows, "doc_id long, place long, hi long, lo long")
+    return docs.select("doc_id", F.xxhash64("text").alias("place"), "text").mapInArrow(tidy(rows), "doc_id long, place long, hi long, lo long")
 
 
 def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -174,7 +174,7 @@ def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
                 two = np.frombuffer(b"".join(map(_hash, own)), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch, np.int32)), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.fromiter(own.values(), np.int64, len(own)))], ["batch", "hi", "lo", "n"])
 
-    return docs.select("batch", "text").mapInArrow(rows, "batch int, hi long, lo long, n long")
+    return docs.select("batch", "text").mapInArrow(tidy(rows), "batch int, hi long, lo long, n long")
 
 
 def _rebuilt(parts: Iterator[pa.RecordBatch], min_chars: int, drops) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
             gone = cache["set"]
             return _rebuilt(parts, min_chars, lambda part, i: gone)
 
-        return docs.mapInArrow(narrow, RESULT)
+        return docs.mapInArrow(tidy(narrow), RESULT)
     lines, _ = written(document_lines(docs, min_chars), "lines")
     gone = spread_join(lines, frequent, ["hi", "lo"], how="left_semi").groupBy("doc_id", "place").agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumnsRenamed({"doc_id": "d", "place": "p"})
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("p")), "left").select("doc_id", "text", "gone")
@@ -245,4 +245,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     def wide(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _rebuilt(parts, min_chars, lambda part, i: {np.array([x["hi"], x["lo"]], np.int64).tobytes() for x in part.column(2)[i].as_py() or ()})
 
-    return joined.mapInArrow(wide, RESULT)
+    return joined.mapInArrow(tidy(wide), RESULT)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, slices, spread_join, utf8, written
+from .common import remove, slices, spread_join, tidy, utf8, written
 from .components import components
 from .words import byte_words, exact_shingles, mix, shingle_rows, words
 
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "hi", "lo", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(rows), "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
 def _small(df: DataFrame, count: int) -> DataFrame:
@@ -144,7 +144,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             mask = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[mask]), pa.array(np.array(b, np.int64)[mask])], ["a", "b"])
 
-    found, _ = written(both.mapInArrow(linked, "a long, b long"), "links")
+    found, _ = written(both.mapInArrow(tidy(linked), "a long, b long"), "links")
     for path in (at, beside):
         remove(spark, path)
     return found
@@ -254,7 +254,7 @@ def refined(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         for _, sets in _sets(parts, k):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["number"])
 
-    often, _ = written(own.mapInArrow(all_numbers, "number long").groupBy("number").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK), "often")
+    often, _ = written(own.mapInArrow(tidy(all_numbers), "number long").groupBy("number").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK), "often")
     least = BLOCK
     while often.where(F.col("rows") > least).count() > MOST_COMMON:  # any order will do; with fewer common ones more sets meet
         least *= 2
@@ -267,7 +267,7 @@ def refined(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             row = pa.array(np.repeat(np.arange(len(sets)), many))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(row), pa.array(np.repeat([len(x) for x in sets], many)), part.column(2).take(row)], ["bucket", "id", "n", "component"])
 
-    cut, _ = written(own.mapInArrow(rare, "bucket long, id long, n long, component long"), "rare")
+    cut, _ = written(own.mapInArrow(tidy(rare), "bucket long, id long, n long, component long"), "rare")
     # near copies share many rare shingles: of buckets with the same members one is enough
     who = F.xxhash64("id", "n")
     members = cut.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(who).alias("x"), F.sum(F.col("id").cast("decimal(38,0)")).alias("y"), F.bit_xor(F.xxhash64(who, "n")).alias("z")).where("rows > 1")
@@ -287,7 +287,7 @@ def left_over(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     pending = refined(pending, texts, k, percent)
     ids = pending.select("id").distinct()
     few = _small(ids, ids.count())
-    sketch, _ = written(texts.join(few, "id", "left_semi").mapInArrow(lambda parts: _least(parts, k), "id long, sketch binary").distinct(), "sketches")
+    sketch, _ = written(texts.join(few, "id", "left_semi").mapInArrow(tidy(lambda parts: _least(parts, k)), "id long, sketch binary").distinct(), "sketches")
     step = float(np.log(100 / percent) * (1 + 1e-9)) if percent < 100 else 1e-9
     own = F.floor(F.log("n") / F.lit(step))
     rows, _ = written(pending.select("bucket", "id", "component", F.explode(F.array(F.struct(own.alias("class"), F.lit(True).alias("home")), F.struct((own + 1).alias("class"), F.lit(False).alias("home")))).alias("c")).select("bucket", "id", "component", "c.class", "c.home"), "classes")
@@ -327,7 +327,7 @@ def left_over(pending: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         if held:
             yield out(group(pa.Table.from_batches(held)))
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:

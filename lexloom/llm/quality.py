@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import slices, tidy, utf8, written
 from .words import mix, spans, words
 
 WORDS, SHAPES, DIM, NONZERO, WINDOW = 1 << 14, 256, 32, 2, 2
@@ -112,10 +112,10 @@ def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The vectors of all rows, from all texts. A task leaves BLOCKS blocks; they are added by spread
     tasks first, then by block, so that no task gathers what all tasks have left."""
-    parts = docs.select("text").mapInArrow(_contexts, "block int, data binary")
+    parts = docs.select("text").mapInArrow(tidy(_contexts), "block int, data binary")
     spread = parts.withColumn("salt", F.spark_partition_id() % 8).repartition("block", "salt").select("block", "data")
-    once = spread.mapInArrow(_summed, "block int, data binary")
-    done = once.repartition("block").mapInArrow(_summed, "block int, data binary")
+    once = spread.mapInArrow(tidy(_summed), "block int, data binary")
+    done = once.repartition("block").mapInArrow(tidy(_summed), "block int, data binary")
     total = np.zeros((BLOCKS, ROWS * (DIM + 1) // BLOCKS), np.int64)
     for row in done.collect():  # BLOCKS rows
         total[row.block] += np.frombuffer(row.data, "<i8")
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows
         for part, x in _featured(parts, sent.value):
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary())], ["y", "x"])
 
-    got = rows.mapInArrow(learn, "y int, x binary").toArrow()
+    got = rows.mapInArrow(tidy(learn), "y int, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
     y = got["y"].to_numpy().astype(np.float64)
     order = np.lexsort((*x.T[:4], y))  # rows come in any order
@@ -261,7 +261,7 @@ def classify(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     ident = F.col("doc_id").cast("long")
-    return docs.select("text", ident.alias("doc_id"), held_out(ident).alias("held_out")).mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("text", ident.alias("doc_id"), held_out(ident).alias("held_out")).mapInArrow(tidy(rows), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _FROM_CHARS, MEMO_WORDS, Bpe
-from .common import utf8
+from .common import tidy, utf8
 
 #: Symbols up to which a plain scan for the best merge is faster than a queue.
 SHORT = 48
@@ -104,4 +104,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             n = np.array(counts, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(rows), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

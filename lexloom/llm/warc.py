@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, spread_join, written
+from .common import new_path, remove, spread_join, tidy, written
 
 FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -201,7 +201,7 @@ def convert(arcs: DataFrame) -> DataFrame:
                 made = [to_warc(r) for r in parse_arc(plain(content.as_py() or b""))]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(made), pa.string()), pa.array(range(len(made)), pa.int64()), pa.array(made, pa.binary())], ["path", "n", "record"])
 
-    return arcs.select("path", "content").mapInArrow(rows, "path string, n long, record binary")
+    return arcs.select("path", "content").mapInArrow(tidy(rows), "path string, n long, record binary")
 
 
 def plain(data: bytes) -> bytes:
@@ -236,7 +236,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                         heads, loads, size = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(loads, pa.binary())], ["headers", "payload"])
 
-    return files.select("content").mapInArrow(rows, "headers map<string,string>, payload binary")
+    return files.select("content").mapInArrow(tidy(rows), "headers map<string,string>, payload binary")
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0, version: int = 2, date: str = "20200101000000") -> DataFrame:
@@ -276,7 +276,7 @@ def page_records(pages: DataFrame, min_bytes: int = 0, version: int = 2, date: s
                     made, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
-    return joined.mapInArrow(rows, "record binary")
+    return joined.mapInArrow(tidy(rows), "record binary")
 
 
 def _page_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,4 +312,4 @@ def archive_pages(pages: DataFrame, path: str | None = None, min_bytes: int = 0,
     size = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     write_warc(page_records(pages, min_bytes, version), path, records_a_file=int(max(1, min(RECORDS_A_FILE, FILE_BYTES // (size + 1)))))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(_page_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInArrow(tidy(_page_rows), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
