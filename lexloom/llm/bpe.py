@@ -24,7 +24,7 @@ from .common import tidy
 
 
 #: A worker keeps the encodings of up to so many words; then it begins anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000
 
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts with other characters than these take the slower, fully Unicode-aware patterns.
@@ -196,9 +196,9 @@ class _Memo(dict):
 _loaded: dict[str, tuple] = {}
 
 
-def worker_coder(spec: str) -> tuple[Bpe, _Memo]:
+def worker_coder(spec: str, most: int = MEMO_WORDS) -> tuple[Bpe, _Memo]:
     """This worker's tokenizer and what it knows of words: (little-endian ids, decoded string)."""
-    key = hashlib.sha1(spec.encode()).hexdigest()
+    key = f"{hashlib.sha1(spec.encode()).hexdigest()} {most}"
     if key not in _loaded:
         bpe = Bpe(spec)
 
@@ -206,21 +206,21 @@ def worker_coder(spec: str) -> tuple[Bpe, _Memo]:
             ids = bpe.encode_word(word)
             return np.array(ids, "<u4").tobytes(), bpe.decode(ids)
 
-        _loaded[key] = bpe, _Memo(made)
+        _loaded[key] = bpe, _Memo(made, most)
     return _loaded[key]
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, keep: tuple[str, ...] = (), memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids: ids array<int> too.
 
     Encodes each whole text with the tokenizer file at ``path`` (read by the driver), special strings
     in texts being their tokens, then decodes the ids. ids_sha256 is over little-endian unsigned 32-bit
     integers, decoded_sha256 over UTF-8. A null text is an empty one: no tokens. Rows are handled one by
     one, so repeated rows repeat; columns beyond doc_id, text and those named in ``keep`` are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. A worker remembers at most ``memo_words`` words.
     """
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:
@@ -230,7 +230,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, keep: tupl
     fields = [docs.schema[c] for c in keep]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memo = worker_coder(sent.value)
+        bpe, memo = worker_coder(sent.value, memo_words)
         for part in parts:
             counts, ids_sha, text_sha, flat = [], [], [], []
             for text in part.column(1):
