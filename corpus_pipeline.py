@@ -18,28 +18,30 @@ from lexloom.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts without letters and foreign ones go."""
+    """Documents whose language is identified; null texts, those without letters and foreign ones go. Rows are judged in place."""
     return drop_unidentified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised text the least doc_id."""
+    """Of documents with equal normalised text the least doc_id; one without an id only where no equal text has one."""
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 80 % equal shingles of five words the least doc_id."""
+    """Of each group linked by 80 % equal shingles of five words the least doc_id; rows without an id stay."""
     return drop_near_duplicates(docs, k=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of ``benchmark``."""
+    """Documents that contain no item of ``benchmark``; decided by the text, so rows without an id are too."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), k=5, percent=80, by_text=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and digests of the ids and of the decoded text."""
-    return encode_decode(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True, keep=("lang", "source"))
+    """doc_id, lang, source, n_tokens, ids, and digests of the ids and of the decoded text. A null text has no tokens; an empty
+    table gives an empty result."""
+    # workers live beside what earlier stages left, so they remember fewer words
+    return encode_decode(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True, keep=("lang", "source"), memo_words=200_000)
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("leaks", leaks), ("encode", encode)]
