@@ -6,13 +6,16 @@ model is made and used in parts of about so many, by ranges of the character bef
 predicts after it but the unigrams is in one part, so the numbers are those of the whole model. A model is a set of sorted hash arrays: for each order the hashes of
 its n-grams and, a column a language, their log-probabilities, and the same for contexts and
 their back-off weights. A text gets the language of the lowest cross-entropy a character; it is rejected
-when that is far above what calibration texts of the language show, or when no language stands out.
+when that is far above what labelled texts of the language show, or when no language stands out. Temperature and
+limits come from all labelled texts: tasks score them and pass on sums.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ ORDER = 4
 #: Distinct n-grams, over all languages, that a part of a model has (more only if one character comes before more of
 #: them); each part is shipped to every worker, which holds one at a time.
 MODEL_NGRAMS = 2_000_000
-#: Labelled texts that set the temperature and the rejection thresholds.
-CALIBRATION_ROWS = 2_000
+#: Temperatures that calibration chooses from.
+TEMPERATURES = np.geomspace(0.01, 2, 40)
+#: Calibration sums whole multiples of 1 / UNIT, so that the order of rows and tasks cannot show in the last digits.
+UNIT = 1 << 32
 #: A best cross-entropy beyond mean + SPREAD * deviation + SLACK (nats) is foreign.
 SPREAD, SLACK = 8.0, 1.0
 #: A best posterior below this stands out too little.
@@ -218,8 +223,8 @@ class Model:
             total[full] = np.add.reduceat(self.scores(chars, at).astype(np.float64), begin[full], axis=0)
         return -total / np.maximum(n, 1)[:, None], some
 
-    def posterior(self, entropy: np.ndarray) -> np.ndarray:
-        z = -(entropy - entropy.min(axis=1, keepdims=True)) / self.calibration["temperature"]
+    def posterior(self, entropy: np.ndarray, temperature: float | None = None) -> np.ndarray:
+        z = -(entropy - entropy.min(axis=1, keepdims=True)) / (temperature or self.calibration["temperature"])
         p = np.exp(z)
         return p / p.sum(axis=1, keepdims=True)
 
@@ -348,12 +353,65 @@ def _sharded(counts: DataFrame, part_ngrams: int) -> Sharded:
     return Sharded(parts, np.array(starts, np.uint32), langs)
 
 
-def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_ngrams: int = MODEL_NGRAMS) -> Model | None:
+def _sums(model: Model, texts: list[str], langs: list[str]) -> dict[tuple[int, int], int]:
+    """What calibration needs of labelled texts with a letter: (language, k) -> the sum of the k-th powers of their
+    cross-entropies, in UNITs; (-1, i) and (-2, i) -> the sum of -log p and of -log(1 - p) at the i-th temperature,
+    p being the posterior of the text's language."""
+    entropy, some = model.entropies(texts)
+    own = np.array([model.langs.index(x) for x, ok in zip(langs, some, strict=True) if ok], np.int64)
+    if not len(own):
+        return {}
+    entropy, at, out = entropy[some], np.arange(len(own)), {}
+    mine = np.rint(entropy[at, own] * UNIT).astype(np.int64)
+    for j in np.unique(own).tolist():
+        values = mine[own == j].tolist()  # beyond 64 bits when squared
+        out |= {(j, 0): len(values), (j, 1): sum(values), (j, 2): sum(v * v for v in values)}
+    for i, t in enumerate(TEMPERATURES.tolist()):
+        p = model.posterior(entropy, t)[at, own]
+        for which, q in ((-1, p), (-2, 1 - p)):
+            out[which, i] = int(np.rint(-np.log(np.maximum(q, 1e-12)) * UNIT).astype(np.int64).sum())
+    return out
+
+
+def _limit(n: int, total: int, squares: int) -> float:
+    """Mean + SPREAD * deviation + SLACK of n cross-entropies, from their sums."""
+    return total / n / UNIT + SPREAD * math.sqrt(n * squares - total * total) / n / UNIT + SLACK
+
+
+def _calibrate(model: Model, labelled: DataFrame) -> None:
+    """Set the model's temperature and limits by all rows (text, lang). The driver sees a few sums a language and two a
+    temperature."""
+    sent, most = _sent(labelled.sparkSession, model), _scored_bytes(model)
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], int] = {}
+        for part in parts:
+            _, at = utf8(part.column(0))
+            for low, high in slices(at, most):
+                texts, langs = (part.column(c).slice(low, high - low).to_pylist() for c in (0, 1))
+                for key, n in _sums(sent.value, texts, langs).items():
+                    held[key] = held.get(key, 0) + n
+        own, k = ([key[c] for key in held] for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(k, pa.int32()), pa.array([Decimal(n) for n in held.values()], pa.decimal128(38, 0))], ["own", "k", "n"])
+
+    tasks, _ = written(labelled.select("text", "lang").mapInArrow(tidy(measure), "own int, k int, n decimal(38,0)"), "sums")
+    sums = {(r.own, r.k): int(r.n) for r in tasks.groupBy("own", "k").agg(F.sum("n").alias("n")).collect()}
+    if not sums:
+        return
+    each = {j: [sums[j, k] for k in range(3)] for j in range(len(model.langs)) if (j, 0) in sums}
+    total = [sum(x) for x in zip(*each.values(), strict=True)]
+    # smoothed by one wrong text in twice as many, so that perfect ones don't mean certainty
+    loss = [sums[-1, i] + sums[-2, i] / (2 * total[0]) for i in range(len(TEMPERATURES))]
+    model.calibration["temperature"] = float(TEMPERATURES[int(np.argmin(loss))])
+    model.calibration["limits"] = [_limit(*(each[j] if j in each and each[j][0] > 4 else total)) for j in range(len(model.langs))]
+
+
+def train(docs: DataFrame, part_ngrams: int = MODEL_NGRAMS) -> Model | None:
     """A model of every language among the rows (doc_id, text, lang) that are not held out; None without any.
 
-    It is of order ORDER at every size, in parts where it has more than ``part_ngrams`` n-grams.
+    It is of order ORDER at every size, in parts where it has more than ``part_ngrams`` n-grams. All these rows are
+    counted, and all calibrate it.
     """
-    spark = docs.sparkSession
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.select("text", "lang").mapInArrow(tidy(_grams), "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
     counts, _ = written(counts, "grams")
@@ -364,34 +422,7 @@ def train(docs: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_ngrams
         if not table.num_rows:
             return None
         model = Model(_rows(table, ORDER), ORDER)
-    total = labelled.select(F.lit(1)).count()
-    share = max(1, total // max(1, calibration_rows))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text", "lang")
-    sent, most = _sent(spark, model), _scored_bytes(model)
-    names = model.langs
-
-    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            _, at = utf8(part.column(0))
-            for low, high in slices(at, most):
-                entropy, some = sent.value.entropies([t or "" for t in part.column(0).slice(low, high - low).to_pylist()])
-                own = np.array([names.index(x) for x in part.column(1).slice(low, high - low).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(list(entropy[some]), pa.list_(pa.float64()))], ["own", "entropy"])
-
-    seen = sample.mapInArrow(tidy(measure), "own long, entropy array<double>").toArrow()
-    if seen.num_rows:
-        own, entropy = seen["own"].to_numpy(), np.array(seen["entropy"].to_pylist())
-        best = (np.inf, 1.0)
-        for t in np.geomspace(0.01, 2, 40):
-            model.calibration["temperature"] = float(t)
-            p = model.posterior(entropy)[np.arange(len(own)), own]
-            # smoothed by one wrong text in twice the sample, so that a perfect one doesn't mean certainty
-            loss = -np.log(np.maximum(p, 1e-12)).mean() - np.log(np.maximum(1 - p, 1e-12)).mean() / (2 * len(own))
-            best = min(best, (loss, float(t)))
-        model.calibration["temperature"] = best[1]
-        mine = entropy[np.arange(len(own)), own]
-        fallback = mine.mean() + SPREAD * mine.std() + SLACK
-        model.calibration["limits"] = [float(mine[own == j].mean() + SPREAD * mine[own == j].std() + SLACK) if (own == j).sum() > 4 else float(fallback) for j in range(len(names))]
+    _calibrate(model, labelled)
     return model
 
 
